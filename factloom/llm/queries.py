@@ -2,20 +2,50 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .common import documents
 from .exact_dedup import exact_dedup
 from .mixing import mix
+from .packing import byte_bpe, pack, pieces
+from .secrets import find_secrets, learn
 
 
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup(documents(spark, sf_dir), keep="largest")
 
 
+def gpt_encoder():
+    import public_tokenizers as P
+
+    return byte_bpe(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+
+
+def op6_best_fit_packing(spark, sf_dir):
+    return pack(pieces(documents(spark, sf_dir), gpt_encoder()))
+
+
+def op10_secret_scan(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    found = find_secrets(docs, learn(docs))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind):
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("found", lambda s: s["kind"] != "format")
+    return found.select("doc_id", *(count(k) for k in ("assign", "access", "hex")), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), F.size(F.filter("found", lambda s: s["kind"] == "format")).cast("long").alias("n_format"))
+
+
 def op9_source_mix(spark, sf_dir):
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES = {
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op10_secret_scan": op10_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
     "op9_source_mix": op9_source_mix,
 }
