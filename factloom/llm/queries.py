@@ -9,6 +9,12 @@ from .exact_dedup import exact_dedup
 from .mixing import mix
 from .packing import byte_bpe, pack, pieces
 from .secrets import find_secrets, learn
+from .toxicity import score_toxicity, train
+
+
+def op1_toxicity(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return score_toxicity(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def op5_exact_dedup(spark, sf_dir):
@@ -44,6 +50,7 @@ def op9_source_mix(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op10_secret_scan": op10_secret_scan,
     "op5_exact_dedup": op5_exact_dedup,
