@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import quality_classifier, quality_rules
 from .common import documents
 from .exact_dedup import exact_dedup
 from .mixing import mix
@@ -17,6 +18,16 @@ def op1_toxicity(spark, sf_dir):
     return score_toxicity(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op4_quality_rules(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return quality_rules.quality_rules(docs, quality_rules.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op8_quality_classifier(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return quality_classifier.grade(docs, quality_classifier.train(docs, quality_classifier.ratings(spark.read.parquet(f"{sf_dir}/labels.parquet"))))
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup(documents(spark, sf_dir), keep="largest")
 
@@ -50,6 +61,8 @@ def op9_source_mix(spark, sf_dir):
 
 
 QUERIES = {
+    "op4_quality_rules": op4_quality_rules,
+    "op8_quality_classifier": op8_quality_classifier,
     "op1_toxicity": op1_toxicity,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op10_secret_scan": op10_secret_scan,
