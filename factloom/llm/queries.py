@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from . import quality_classifier, quality_rules
 from .common import documents
 from .exact_dedup import exact_dedup
+from .minhash import near_duplicates
 from .mixing import mix
 from .packing import byte_bpe, pack, pieces
 from .secrets import find_secrets, learn
@@ -56,11 +57,16 @@ def op10_secret_scan(spark, sf_dir):
     return found.select("doc_id", *(count(k) for k in ("assign", "access", "hex")), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), F.size(F.filter("found", lambda s: s["kind"] == "format")).cast("long").alias("n_format"))
 
 
+def op7_minhash_near_dedup(spark, sf_dir):
+    return near_duplicates(documents(spark, sf_dir), words=3, num=85)
+
+
 def op9_source_mix(spark, sf_dir):
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES = {
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op8_quality_classifier": op8_quality_classifier,
     "op1_toxicity": op1_toxicity,
