@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
 import struct
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
@@ -137,16 +138,14 @@ def _terminals(node: Node, key: bytes) -> Iterator[tuple[bytes, list]]:
             yield k, n.owner
 
 
-def _record(f, key: bytes, best, rows: int, reps: list[int]) -> None:
-    f.write(struct.pack("<q?qqq", len(key), best is None, best or 0, rows, len(reps)) + struct.pack(f"<{len(reps)}q", *reps) + key)
+def _record(f, *rec) -> None:
+    data = pickle.dumps(rec, pickle.HIGHEST_PROTOCOL)
+    f.write(struct.pack("<q", len(data)) + data)
 
 
 def _records(f) -> Iterator[tuple]:
-    size = struct.calcsize("<q?qqq")
-    while head := f.read(size):
-        n, none, best, rows, k = struct.unpack("<q?qqq", head)
-        reps = list(struct.unpack(f"<{k}q", f.read(8 * k)))
-        yield f.read(n), None if none else best, rows, reps
+    while head := f.read(8):
+        yield pickle.loads(f.read(struct.unpack("<q", head)[0]))  # noqa: S301  written by this task
 
 
 def _better(keep: str) -> Callable:
@@ -233,6 +232,78 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", normalise: Callable[[st
     return tagged.select("doc_id", "rep", "text_sha256").join(owners.hint("merge"), "rep").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
+def survivors(docs: DataFrame, keep: str = "smallest", normalise: Callable[[str], str] | None = None, budget: int = 64 << 20, flush: int = 32 << 20) -> DataFrame:
+    """The surviving row of each group of equal texts, with all columns of *docs*; groups as in exact_dedup().
+
+    Only survivors of each map task's own fold are shuffled, whole, and the terminal node of their text holds the best row,
+    so nothing is joined back. Rows that repeat id and text are one. A text of null survives as null if its row is the best.
+    """
+    names, schema = docs.columns, docs.schema
+    at, key_at = names.index("doc_id"), names.index("text")
+    pick = _better(keep)
+
+    def better(a: tuple, b: tuple) -> tuple:
+        return a if pick(a[at], b[at]) == a[at] else b
+
+    def key_of(text: str | None) -> bytes:
+        text = text or ""
+        return (normalise(text) if normalise else text).encode("utf-8", "surrogatepass")
+
+    def rows_of(b: pa.RecordBatch) -> Iterator[tuple]:
+        return zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+    def out(rows: Iterable[tuple], kinds: pa.Schema) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for r in rows:
+            held.append(r)
+            size += len(r[key_at] or "")
+            if size > 8 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), kinds, strict=True)], names)
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), kinds, strict=True)], names)
+
+    def fold(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, tuple] = {}
+        size, kinds = 0, None
+        for b in it:
+            kinds = b.schema
+            for r in rows_of(b):
+                key = key_of(r[key_at])
+                if key in held:
+                    held[key] = better(held[key], r)
+                else:
+                    held[key] = r
+                    size += len(key) + 200
+                if size > flush:
+                    yield from out(held.values(), kinds)
+                    held, size = {}, 0
+        if held:
+            yield from out(held.values(), kinds)
+
+    def own(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, kinds = PatriciaTrie(better, budget), None
+        for b in it:
+            kinds = b.schema
+            for r in rows_of(b):
+                # the text itself is the path to its node, and only kept beside it if it isn't equal to that
+                key = key_of(r[key_at])
+                same = r[key_at] is not None and not normalise
+                trie.insert(key, r[:key_at] + ((True,) if same else ((r[key_at],),)) + r[key_at + 1 :], 1, [])
+        if kinds is not None:
+            yield from out((best[:key_at] + (key.decode("utf-8", "surrogatepass") if best[key_at] is True else best[key_at][0],) + best[key_at + 1 :] for key, (best, _, _) in trie.owners()), kinds)
+
+    text = F.coalesce(F.col("text"), F.lit("")) if not normalise else None
+    folded = docs.mapInArrow(fold, schema)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if normalise:
+        hash_ = F.udf(lambda t: hashlib.sha256(key_of(t)).hexdigest(), "string")
+        folded = folded.repartition(parts, hash_("text"))
+    else:
+        folded = folded.repartition(parts, F.octet_length(text), F.sha2(text, 256))
+    return folded.mapInArrow(own, schema)
+
+
 def _batch(rows: list) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.int64())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["doc_id", "rep", "n_bytes", "text_sha256", "content", "best", "n"])

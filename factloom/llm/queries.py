@@ -65,7 +65,14 @@ def op9_source_mix(spark, sf_dir):
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op8_quality_classifier": op8_quality_classifier,
