@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from . import quality_classifier, quality_rules
 from .common import documents
 from .exact_dedup import exact_dedup
+from .line_dedup import line_dedup
 from .minhash import near_duplicates
 from .mixing import mix
 from .packing import byte_bpe, pack, pieces
 from .secrets import find_secrets, learn
+from .substring_dedup import substring_dedup
 from .toxicity import score_toxicity, train
 
 
@@ -19,6 +21,15 @@ def op1_toxicity(spark, sf_dir):
     return score_toxicity(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op2_substring_dedup(spark, sf_dir):
+    return substring_dedup(documents(spark, sf_dir))
+
+
+def op3_line_dedup(spark, sf_dir):
+    out = line_dedup(documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op4_quality_rules(spark, sf_dir):
     docs = documents(spark, sf_dir)
     return quality_rules.quality_rules(docs, quality_rules.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -74,6 +85,8 @@ def pipeline(spark, sf_dir):
 QUERIES = {
     "pipeline": pipeline,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_line_dedup": op3_line_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op8_quality_classifier": op8_quality_classifier,
     "op1_toxicity": op1_toxicity,
