@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 # fixed values: column names and types of the fact tables
 _DDL = {
@@ -24,7 +24,9 @@ _DDL = {
 }
 # end of fixed values
 
-TABLES: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+_KINDS = {"STRING": StringType(), "LONG": LongType(), "INT": IntegerType(), "DOUBLE": DoubleType(), "BOOLEAN": BooleanType(), "TIMESTAMP": TimestampType()}
+
+TABLES: dict[str, StructType] = {table: StructType([StructField(*(name, _KINDS[kind])) for name, kind in map(str.split, columns.split(","))]) for table, columns in _DDL.items()}
 
 #: Integer columns that a record must have.
 REQUIRED = {
