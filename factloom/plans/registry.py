@@ -23,3 +23,10 @@ def query(name: str, oracle: str | None = None):
         return f
 
     return add
+
+
+def load() -> dict[str, Query]:
+    """QUERIES, filled."""
+    from . import queries  # noqa: F401  registers them
+
+    return QUERIES

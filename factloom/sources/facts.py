@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, MapType, StringType, StructType
 
 from ..schemas import DEFAULTS, REQUIRED, TABLES
 
@@ -22,7 +22,7 @@ def read_jsonl(spark: SparkSession, path: str, table: str, source: str) -> DataF
     fields = [f for f in schema if f.name not in ("source", "extracted_at")]
     given = StructType()
     for f in fields:
-        given.add(f.name, "map<string,int>" if f.name == "pcode_histogram" else f.dataType if isinstance(f.dataType, (*kinds, StringType)) else "string")
+        given.add(f.name, MapType(StringType(), IntegerType()) if f.name == "pcode_histogram" else f.dataType if isinstance(f.dataType, (*kinds, StringType)) else StringType())
     raw = spark.read.schema(given).option("mode", "FAILFAST").json(path)
     out = [F.lit(source).alias("source")]
     for f in fields:
