@@ -104,7 +104,7 @@ class SubwordClassifier:
         sums = [np.full_like(self.e, 1e-3), np.full_like(self.w, 1e-3), np.full_like(self.b, 1e-3)]
         for _ in range(rounds):
             ids, cut, label = self._instances(texts, y, chunks)
-            for _ in range(epochs):
+            for _ in range(max(epochs, 200 * 64 // len(label))):  # a small sample is gone through more often
                 self._epoch(ids, cut, label, sums)
             self.logit = (self.e @ (self.w[:, 1] - self.w[:, 0])).astype(np.float32)
             self.bias = float(self.b[1] - self.b[0])
