@@ -75,3 +75,14 @@ def equal_sets(members: DataFrame, column: str) -> DataFrame:
     a, b = side.alias("a"), side.alias("b")
     hit = a.join(b, F.col("a.k") == F.col("b.k")).filter((F.col("a.source") < F.col("b.source")) & (F.col(f"a.{column}") == F.col(f"b.{column}")))
     return hit.select(F.col("a.source").alias("a_source"), F.col("a.addr").alias("a_addr"), F.col("b.source").alias("b_source"), F.col("b.addr").alias("b_addr"), F.size(f"a.{column}").cast("long").alias("n"))
+
+
+def twin_precision(features: DataFrame, columns: Sequence[str], members: DataFrame | None = None, column: str = "members") -> DataFrame:
+    """One row: twins on *columns* (and on equal sets of *members*, if given), those of one name, and their share in percent."""
+    pairs = twins(features, columns)
+    if members is not None:
+        for s in ("a", "b"):
+            pairs = pairs.join(members.select(F.col("source").alias(f"{s}_source"), F.col("addr").alias(f"{s}_addr"), F.col(column).alias(f"{s}_set")), [f"{s}_source", f"{s}_addr"])
+        pairs = pairs.filter("a_set = b_set")
+    g = pairs.agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("a_name") == F.col("b_name")).alias("same_name"))
+    return g.withColumn("precision_pct", 100.0 * F.try_divide(F.col("same_name").cast("double"), F.col("pairs").cast("double")))

@@ -132,3 +132,18 @@ def executability(t: DataFrame) -> DataFrame:
     n, bad = F.col("instructions_executed"), F.col("error").contains("INVALID")
     verdict = F.when(n >= 5, "code").when(F.col("has_prologue") & (n >= 3), "code").when((n <= 1) & F.coalesce(bad, F.lit(False)), "data").when(n == 0, "data").otherwise("uncertain")
     return t.withColumn("classification", verdict).withColumn("executable", F.when(verdict == "code", True).when(verdict == "data", False))
+
+
+def round_priority(nodes: DataFrame, degree: DataFrame, frontier: DataFrame) -> DataFrame:
+    """node, priority: .60 degree over the largest degree + .40 for the frontier."""
+    j = nodes.select("node").join(degree, "node", "left").join(frontier.select("node").distinct().withColumn("front", F.lit(1.0)), "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    most = j.agg(F.max("degree").cast("double").alias("most"))
+    return j.crossJoin(F.broadcast(most)).select("node", (0.6 * F.coalesce(F.try_divide(F.col("degree").cast("double"), F.col("most")), F.lit(0.0)) + 0.4 * F.coalesce("front", F.lit(0.0))).alias("priority"))  # the other side is one row
+
+
+def convergence(log: DataFrame, share: float = 0.05) -> DataFrame:
+    """By round: entities first named in it, all named so far, their ratio, and whether that is under *share*. *log*: entity, round."""
+    first = log.groupBy("entity").agg(F.min("round").alias("round")).groupBy("round").agg(F.count(F.lit(1)).alias("fresh"))
+    named = F.sum("fresh").over(Window.orderBy("round").rowsBetween(Window.unboundedPreceding, 0))  # one row a round
+    out = first.withColumn("named", named)
+    return out.withColumn("ratio", F.col("fresh").cast("double") / F.col("named")).withColumn("converged", F.col("ratio") < share)

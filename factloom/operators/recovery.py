@@ -180,3 +180,22 @@ def dossier(functions: DataFrame, calls: DataFrame, xrefs: DataFrame) -> DataFra
     listed = lambda d, n: d.join(who, ["source", "other"], "left").groupBy("source", "addr").agg(F.array_sort(F.collect_list(F.struct("other", "other_name"))).alias(n))
     refs = xrefs.groupBy("source", F.col("function_addr").alias("addr")).agg(F.array_sort(F.collect_set(F.struct("ref_type", "to_addr"))).alias("references"))
     return functions.join(listed(into, "callers"), ["source", "addr"], "left").join(listed(out, "callees"), ["source", "addr"], "left").join(refs, ["source", "addr"], "left")
+
+
+def implied_edges(functions: DataFrame, rules: DataFrame, calls: DataFrame) -> DataFrame:
+    """Edges that naming conventions imply and no call shows. *rules*: rule, caller_like, callee_like, category (a few rows, written by hand).
+
+    Both sides are matched with the broadcast rules first and then meet on (source, rule).
+    """
+    few = F.broadcast(rules)
+    side = lambda c, n: functions.join(few, F.expr(f"name LIKE {c}")).select("source", "rule", "category", F.col("addr").alias(n))
+    out = side("caller_like", "caller_addr").join(side("callee_like", "callee_addr").drop("category"), ["source", "rule"]).filter("caller_addr != callee_addr")
+    return out.select("source", "caller_addr", "callee_addr", "category").distinct().join(calls.select("source", "caller_addr", "callee_addr"), ["source", "caller_addr", "callee_addr"], "left_anti")
+
+
+def gap_categories(nodes: DataFrame, edges: DataFrame, roots: DataFrame, categories: Sequence[tuple[str, str]]) -> DataFrame:
+    """What no root reaches, by the first name prefix that fits: category, missing. *nodes*: node, name."""
+    from .graph import unreachable
+
+    gone = unreachable(edges, nodes, roots)
+    return gone.groupBy(prefix_group(F.col("name"), categories).alias("category")).agg(F.count(F.lit(1)).alias("missing"))

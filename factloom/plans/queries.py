@@ -551,3 +551,38 @@ def function_dossier(spark, d):
     n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     size = lambda c: F.when(F.col(c).isNull(), F.lit(0)).otherwise(n(c)).cast("long")
     return one.select("source", "addr", size("callers").alias("callers"), size("callees").alias("callees"), size("references").alias("refs"))
+
+
+@query("implied_edges", with_shapes(" SELECT DISTINCT a.source, a.addr AS caller_addr, b.addr AS callee_addr, 'handler' AS category FROM functions a JOIN functions b ON a.source = b.source AND a.addr <> b.addr WHERE a.name LIKE 'red%' AND b.name LIKE 'blue%' AND NOT EXISTS (SELECT 1 FROM calls c WHERE c.source = a.source AND c.caller_addr = a.addr AND c.callee_addr = b.addr)", "functions", "calls"))
+def implied_edges(spark, d):
+    rules = spark.createDataFrame([(1, "red%", "blue%", "handler")], "rule int, caller_like string, callee_like string, category string")
+    return recovery.implied_edges(shape(spark, d, "functions"), rules, shape(spark, d, "calls"))
+
+
+@query("gap_categories", with_shapes(", r(node) AS (SELECT 1::BIGINT UNION SELECT t.dst FROM r JOIN tree t ON t.src = r.node) SELECT CASE WHEN starts_with(p_name, 'red') THEN 'warm' WHEN starts_with(p_name, 'blue') THEN 'cold' ELSE 'other' END AS category, count(*) AS missing FROM part WHERE p_partkey NOT IN (SELECT node FROM r) GROUP BY 1", "tree"))
+def gap_categories(spark, d):
+    nodes = table(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_name").alias("name"))
+    return recovery.gap_categories(nodes, shape(spark, d, "tree"), spark.createDataFrame([(1,)], "node long"), [("red", "warm"), ("blue", "cold")])
+
+
+@query("round_priority", with_shapes(", g AS (SELECT src AS node, count(*) AS degree FROM edges GROUP BY src), n AS (SELECT DISTINCT src AS node FROM edges) SELECT n.node, 0.6::DOUBLE * degree / (SELECT max(degree) FROM g) + 0.4::DOUBLE * (n.node % 10 = 0)::INT AS priority FROM n JOIN g USING (node)", "edges"))
+def round_priority(spark, d):
+    e = shape(spark, d, "edges")
+    n = e.select(F.col("src").alias("node")).distinct()
+    return identity.round_priority(n, e.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree")), n.filter("node % 10 = 0"))
+
+
+@query("convergence", with_shapes(", f AS (SELECT addr, min(id) AS round FROM evidence GROUP BY addr), c AS (SELECT round, count(*) AS fresh FROM f GROUP BY round), s AS (SELECT *, (sum(fresh) OVER (ORDER BY round))::BIGINT AS named FROM c) SELECT *, fresh::DOUBLE / named AS ratio, fresh::DOUBLE / named < 0.05 AS converged FROM s", "evidence"))
+def convergence(spark, d):
+    return identity.convergence(shape(spark, d, "evidence").select(F.col("addr").alias("entity"), F.col("id").alias("round")))
+
+
+@query("twin_precision", with_shapes(" SELECT count(*) AS pairs, count(*) FILTER (a.name = b.name) AS same_name, 100.0::DOUBLE * count(*) FILTER (a.name = b.name) / nullif(count(*), 0) AS precision_pct FROM functions a JOIN functions b ON a.size = b.size AND a.signature = b.signature AND a.source < b.source", "functions"))
+def twin_precision(spark, d):
+    return ft.twin_precision(shape(spark, d, "functions"), ["size", "signature"])
+
+
+@query("twin_precision_constants", with_shapes(", m AS (SELECT source, function_addr AS addr, list(DISTINCT to_addr ORDER BY to_addr) AS v FROM xrefs WHERE ref_type = 'READ' AND from_addr % 10 = 1 GROUP BY ALL) SELECT count(*) AS pairs, count(*) FILTER (a.name = b.name) AS same_name, 100.0::DOUBLE * count(*) FILTER (a.name = b.name) / nullif(count(*), 0) AS precision_pct FROM functions a JOIN functions b ON a.size = b.size AND a.source < b.source JOIN m x ON x.source = a.source AND x.addr = a.addr JOIN m y ON y.source = b.source AND y.addr = b.addr WHERE x.v = y.v", "functions", "xrefs"))
+def twin_precision_constants(spark, d):
+    x = shape(spark, d, "xrefs").filter("ref_type = 'READ' and from_addr % 10 = 1").withColumnRenamed("function_addr", "addr")
+    return ft.twin_precision(shape(spark, d, "functions"), ["size"], ft.sets(x, "to_addr", "members"))
