@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ _RNG = np.random.default_rng(20240609)
 _A, _B = (_RNG.integers(1, 2**63, 16, dtype=np.uint64) * 2 + 1 for _ in range(2))
 #: A list of more members than this is searched from its centre first and by whole sets then, not pair by pair.
 SMALL = 16
+#: So many members of a longer list, each the commonest of its share, are its centres.
+CENTRES = 8
 #: Chance that a pair at the threshold is missed by sketches; fixes how many retained values it must share.
 LOSS = 1e-9
 #: log2 of the cells that count how common hashed values are; they only set an order, so collisions cost time, not pairs.
@@ -169,6 +173,10 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _arrow(rows: list[tuple], names: tuple, kinds: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], list(names))
+
+
 class NearDuplicates:
     """The job over one corpus; see near_duplicates()."""
 
@@ -187,7 +195,10 @@ class NearDuplicates:
         return stored(self.docs.mapInArrow(work, "doc_id long, n long, node long, sketch binary"), "sketches")
 
     def postings(self, classes: DataFrame) -> DataFrame:
-        """The rarest retained values of each node, so many that two partners share one: value, node, n, rare."""
+        """The rarest retained values of each node, so many that two partners share one: value, node, n, rare.
+
+        rare is least for the node whose values are the commonest: of a group of edited copies, that is the text they were made from.
+        """
         rule = self.rule
         seen = classes.sparkSession.sparkContext.broadcast(_frequencies(classes, "sketch"))
 
@@ -199,7 +210,7 @@ class NearDuplicates:
                     h = np.frombuffer(x, np.int64)
                     f = common[_cells(h)]
                     pick = h[np.lexsort((h, f))[: rule.prefix(n)]]
-                    for c, v in zip(cols, (pick, np.full(len(pick), node), np.full(len(pick), n), np.full(len(pick), (f < 2).sum())), strict=True):
+                    for c, v in zip(cols, (pick, np.full(len(pick), node), np.full(len(pick), n), np.full(len(pick), -int(1000 * np.log2(np.clip(f, 1, 64)).sum()))), strict=True):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in cols], ["value", "node", "n", "rare"])
 
@@ -250,31 +261,74 @@ class NearDuplicates:
         texts = self.docs.join(ids.select("node", F.col("min_id").alias("doc_id")), "doc_id").select("node", "text")
         return texts.mapInArrow(work, "node long, members binary")
 
-    def strays(self, lists: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs across components within long lists, by whole sets.
+    def rarest(self, whole: DataFrame) -> DataFrame:
+        """The rarest shingles of each whole set, so many that two partners share one: value, node, n, pos.
 
-        Every member's own rarest shingles (order: how common they are among these members) are posted; two partners meet in
-        one. In each list only members outside its commonest component look for partners, and sizes and places bound the overlap.
+        How common a shingle is among these sets is counted exactly: sets are cut by ranges of hash values, a task
+        counts all values of its ranges, and the counted parts come back together by batch of sets. A shingle seen once meets nothing and isn't
+        posted, but it takes a place.
         """
         rule = self.rule
-        ids = lists.select("node").distinct().join(classes.select("node", "min_id"), "node")
-        whole = stored(self.whole_sets(ids), "dense")
-        seen = whole.sparkSession.sparkContext.broadcast(_frequencies(whole, "members"))
+        total = whole.agg(F.sum(F.octet_length("members") / 8)).first()[0] or 0
+        parts = max(int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total // 2_000_000) + 1)
+        edges = np.linspace(0, 2.0**63, parts + 1)[1:-1].astype(np.int64)
+
+        kinds = ("part", "batch", "head", "places", "members"), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+
+        def scatter(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """For each batch of sets a row with its nodes and sizes, and one row for each range of hash values."""
+            for i, b in enumerate(batches(it, "members", 8 << 20)):
+                uid = TaskContext.get().partitionId() << 32 | i
+                sets = [np.frombuffer(x.as_py(), np.int64) for x in b.column(1)]
+                h = np.concatenate(sets)
+                head = np.array([b.column(0).to_pylist(), [len(x) for x in sets]], np.int64)
+                part = np.searchsorted(edges, h, side="right")
+                order = np.argsort(part, kind="stable")
+                cut = np.searchsorted(part[order], np.arange(parts + 1))
+                rows = [(uid % parts, uid, head.tobytes(), b"", b"")]
+                rows += [(k, uid, b"", order[p:q].tobytes(), h[order[p:q]].tobytes()) for k, (p, q) in enumerate(zip(cut, cut[1:], strict=False)) if q > p]
+                yield _arrow(rows, *kinds)
+
+        def count(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [r for b in it for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            sizes = np.cumsum([0] + [len(r[4]) // 8 for r in held])
+            _, inverse, times = np.unique(np.frombuffer(b"".join(r[4] for r in held), np.int64), return_inverse=True, return_counts=True)
+            seen = times[inverse].astype(np.int64) if len(times) else np.zeros(0, np.int64)
+            for i in range(0, len(held), 1_000):
+                yield _arrow([(*r[1:], seen[sizes[j] : sizes[j + 1]].tobytes()) for j, r in enumerate(held[i : i + 1_000], i)], ("batch", "head", "places", "members", "seen"), (pa.int64(), *[pa.binary()] * 4))
 
         def post(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            common = seen.value
-            for b in it:
+            for _, rows in groupby((r for b in it for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[0]):
+                rows = list(rows)
+                node, size = np.frombuffer(next(r[1] for r in rows if r[1]), np.int64).reshape(2, -1)
+                h, f = np.zeros(size.sum(), np.int64), np.zeros(size.sum(), np.int64)
+                for r in rows:
+                    at = np.frombuffer(r[2], np.int64)
+                    h[at], f[at] = np.frombuffer(r[3], np.int64), np.frombuffer(r[4], np.int64)
                 cols: list = [[], [], [], []]
-                for node, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    h = np.frombuffer(x.as_py(), np.int64)
-                    f = common[_cells(h)]
-                    order = np.lexsort((h, f))[: len(h) - rule.least(len(h)) + 1]
-                    pos = np.flatnonzero(f[order] > 1)  # a shingle seen once meets nothing, but counts as a place
-                    for c, v in zip(cols, (h[order][pos], np.full(len(pos), node), np.full(len(pos), len(h)), pos), strict=True):
+                end = 0
+                for i, n in zip(node.tolist(), size.tolist(), strict=True):
+                    x, y = h[end : end + n], f[end : end + n]
+                    end += n
+                    order = np.lexsort((x, y))[: n - rule.least(n) + 1]
+                    pos = np.flatnonzero(y[order] > 1)
+                    for c, v in zip(cols, (x[order][pos], np.full(len(pos), i), np.full(len(pos), n), pos), strict=True):
                         c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in cols], ["value", "node", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in cols], ["value", "node", "n", "pos"])
+
+        counted = whole.mapInArrow(scatter, "part long, batch long, head binary, places binary, members binary").repartition(parts, "part").mapInArrow(count, "batch long, head binary, places binary, members binary, seen binary")
+        return counted.repartition(parts, "batch").sortWithinPartitions("batch").mapInArrow(post, "value long, node long, n long, pos long")
+
+    def strays(self, lists: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+        """Pairs across components within long lists, by whole sets.
 
-        posted = whole.mapInArrow(post, "value long, node long, n long, pos long").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        Two partners meet in one of their rarest shingles. In each list only members outside its commonest component look for
+        partners, and sizes and places bound the overlap.
+        """
+        rule = self.rule
+        ids = lists.select("node").distinct().join(classes.select("node", "min_id"), "node")
+        whole = stored(self.whole_sets(ids).dropDuplicates(["node"]), "dense")
+        posted = self.rarest(whole).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         posted = stored(posted, "places")
         sizes = posted.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n0"))
         main = sizes.groupBy("value").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.min("n0").alias("n0"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
@@ -282,16 +336,21 @@ class NearDuplicates:
         stray = posted.join(main, "value").filter("comp != main").filter(F.col("n") - F.col("pos") >= t * (F.col("n") + F.greatest(F.col("n0"), F.col("n") * (rule.num / rule.den))) - 1e-6)
         x, y = stray.select("value", "node", "n", "pos", "comp").alias("x"), posted.alias("y")
         need = t * (F.col("x.n") + F.col("y.n")) - 1e-6
-        return x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.comp") != F.col("y.comp")) & (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= need)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        size = F.least("x.n", "y.n") * rule.den >= F.greatest("x.n", "y.n") * rule.num
+        return x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.comp") != F.col("y.comp")) & size & (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= need)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
     def run(self) -> DataFrame:
         sets = self.sets()
         has = sets.filter("node is not null")
         classes = stored(has.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("min_id")), "classes")
         posted = stored(self.postings(classes), "postings")
-        # first each list's centre, the member of fewest rare values, against the others
-        centre = posted.groupBy("value").agg(F.min_by("node", F.struct("rare", "node")).alias("centre"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-        star = posted.join(centre, "value").filter("node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        # first each list's centres, the members of the commonest values, against the others
+        many = posted.groupBy("value").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+        part = F.when(F.col("m") > SMALL, F.pmod("node", F.lit(CENTRES))).otherwise(0)
+        sized = posted.join(many, "value").withColumn("part", part)
+        centre = sized.groupBy("value", "part").agg(F.min_by(F.struct("node", "n"), F.struct("rare", "node")).alias("c")).select("value", "c")
+        fits = F.least("n", "c.n") * self.rule.den >= F.greatest("n", "c.n") * self.rule.num
+        star = sized.join(centre, "value").filter((F.col("node") != F.col("c.node")) & fits).select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
         links = self.verified(star, classes)
         if links.isEmpty():
             labels = links.select(F.col("a").alias("node"), F.col("b").alias("comp"))
@@ -322,7 +381,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
     Documents whose sets of *words*-word shingles have a Jaccard of num / den or more are linked. Rows of equal sets are one
     node. Each node keeps the k least hashes of its set; a pair at the threshold shares so many of them that one is among the
-    rarest k - o + 1 of both (chance of less: LOSS), so only these are posted. In each inverted list the centre is compared with
+    rarest k - o + 1 of both (chance of less: LOSS), so only these are posted. In each inverted list centres are compared with
     the others, the links give components, and pairs that cross components are compared after that: all of them in
     short lists, those that whole sets allow in long ones. The union-sketch estimate drops unlikely pairs, exact Jaccard on
     whole sets decides. Copies and dense groups cost in proportion to their size unless their members cross components.
