@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 
 def _chunked(docs: DataFrame, every: int, window: int) -> DataFrame:
     """doc_id, lines, cuts: the index of the last line of each chunk.
@@ -39,25 +41,25 @@ def line_dedup(docs: DataFrame, every: int = 3, window: int = 2, least_lines: in
     Of all chunks with the same bytes and *least_lines* lines or more, the first by (doc_id, place) stays, the others go.
     Chunks of one hash are brought together and then compared by their bytes: grouping is by the hash and the text itself. A
     chunk that is in a third of all documents is one row a task before it is grouped, and joins from a side that Spark can split.
+    Only the bytes of chunks whose hash recurs are moved for that; texts move by doc_id, twice.
 
-    Null text: empty, one empty line. Null doc_id: after all others; texts with null ids share what they lose. A repeated
+    Null text: empty, one empty line. Null doc_id: after all others; rows of null ids lose only what a row with an id has. A repeated
     doc_id loses the chunks that any of its rows must lose at that place if their bytes agree. Empty input: no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # the outer form: for explode() Spark adds a filter on the array, which it would work out anew below all projections
-    rows = _chunks(_chunked(docs, every, window)).select("doc_id", F.explode_outer("chunks").alias("c")).filter(F.col("c.size") >= least_lines)
-    keyed = rows.select("doc_id", F.col("c.k").alias("k"), F.xxhash64("c.body").alias("key"), F.col("c.body").alias("body"))
-    repeated = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    same = keyed.join(repeated.hint("merge"), "key")
-    owner = same.groupBy("key", "body").agg(F.min(F.coalesce("doc_id", F.lit(2**63 - 1))).alias("owner"))
-    placed = same.join(owner.hint("merge"), ["key", "body"])
-    # within its owner the first place stays
-    own = placed.filter(F.coalesce("doc_id", F.lit(2**63 - 1)) == F.col("owner")).groupBy("key", "body", "owner").agg(F.min("k").alias("first"), F.max("k").alias("last"))
-    gone = placed.filter(F.coalesce("doc_id", F.lit(2**63 - 1)) != F.col("owner")).select("doc_id", "k", "key")
-    twice = own.filter("first < last").select("key", "body", "owner", "first")
-    again = placed.join(twice, ["key", "body", "owner"]).filter((F.coalesce("doc_id", F.lit(2**63 - 1)) == F.col("owner")) & (F.col("k") > F.col("first"))).select("doc_id", "k", "key")
-    lost = gone.union(again).groupBy("doc_id").agg(F.collect_set(F.struct("k", "key")).alias("lost"))
-    whole = _chunks(_chunked(docs, every, window)).alias("d").join(lost.alias("l"), F.expr("d.doc_id <=> l.doc_id"), "left")
+    chunked = _chunks(_chunked(docs, every, window))
+    # hashes first, without the bytes; the outer form, as for explode() Spark would add a filter that works the array out anew
+    hashed = chunked.select("doc_id", F.explode_outer("chunks").alias("c")).filter(F.col("c.size") >= least_lines).select("doc_id", F.col("c.k").alias("k"), F.xxhash64("c.body").alias("key"))
+    hashed = stored(hashed, "line-hashes")
+    repeated = hashed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    asked = hashed.join(repeated.hint("merge"), "key").groupBy("doc_id").agg(F.collect_set("k").alias("ks"))
+    # then the bytes of chunks whose hash recurs
+    some = chunked.alias("d").join(asked.alias("a"), F.expr("d.doc_id <=> a.doc_id")).select("d.doc_id", F.explode_outer(F.transform("ks", lambda k: F.get("chunks", k))).alias("c")).filter(F.col("c.size") >= least_lines)
+    bodies = stored(some.select("doc_id", F.col("c.k").alias("k"), F.xxhash64("c.body").alias("key"), F.col("c.body").alias("body")), "line-bodies")
+    place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("i"), F.when(F.col("doc_id").isNull(), 0).otherwise(F.col("k")).alias("k"))
+    owner = bodies.groupBy("key", "body").agg(F.min(place).alias("owner"))
+    lost = bodies.join(owner.hint("merge"), ["key", "body"]).filter(place != F.col("owner")).select("doc_id", "k", "key").groupBy("doc_id").agg(F.collect_set(F.struct("k", "key")).alias("lost"))
+    whole = chunked.alias("d").join(lost.alias("l"), F.expr("d.doc_id <=> l.doc_id"), "left")
     ids = F.transform("chunks", lambda c: F.struct(c["k"].alias("k"), F.xxhash64(c["body"]).alias("key")))
     whole = whole.withColumn("ids", ids).withColumn("stay", F.when(F.col("lost").isNull(), F.col("ids")).otherwise(F.array_except("ids", "lost")))
     text = F.when(F.col("lost").isNull(), F.array_join("lines", "\n")).otherwise(F.array_join(F.transform("stay", lambda s: F.get("chunks", s["k"])["body"]), "\n"))
