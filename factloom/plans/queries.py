@@ -179,23 +179,24 @@ def best_name_coalesce(spark, d):
     return identity.best_name(f, named("e", 5), named("w", 3))
 
 
-@query("jaccard_sets", with_shapes(", s AS (SELECT DISTINCT function_addr AS k, to_addr AS v FROM xrefs WHERE ref_type = 'READ' AND from_addr % 10 = 1), n AS (SELECT k, count(*) AS n FROM s GROUP BY k) SELECT a.k AS a, b.k AS b, count(*) AS shared, count(*)::DOUBLE / (any_value(na.n) + any_value(nb.n) - count(*)) AS jaccard FROM s a JOIN s b ON a.v = b.v AND a.k < b.k JOIN n na ON na.k = a.k JOIN n nb ON nb.k = b.k GROUP BY a.k, b.k HAVING count(*) > 1", "xrefs"))
+@query("jaccard_sets", with_shapes(", s AS (SELECT DISTINCT function_addr AS k, to_addr AS v FROM xrefs WHERE ref_type = 'READ'), n AS (SELECT k, count(*) AS n FROM s GROUP BY k), p AS (SELECT a.k AS a, b.k AS b, count(*) AS shared FROM s a JOIN s b ON a.v = b.v AND a.k < b.k GROUP BY a.k, b.k) SELECT a, b, shared, shared::DOUBLE / (x.n + y.n - shared) AS jaccard FROM p JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE shared::DOUBLE / (x.n + y.n - shared) >= 0.25", "xrefs"))
 def jaccard_sets(spark, d):
-    return similarity.shared_members(shape(spark, d, "xrefs").filter("ref_type = 'READ' and from_addr % 10 = 1"), "function_addr", "to_addr").filter("shared > 1")
+    return similarity.shared_members(shape(spark, d, "xrefs").filter("ref_type = 'READ'"), "function_addr", "to_addr").filter("jaccard >= 0.25")
 
 
-@query("set_equality_join", with_shapes(", s AS (SELECT source, function_addr AS addr, list(DISTINCT to_addr ORDER BY to_addr) AS v FROM xrefs WHERE ref_type = 'READ' AND from_addr % 10 = 1 GROUP BY ALL) SELECT a.source AS a_source, a.addr AS a_addr, b.source AS b_source, b.addr AS b_addr, len(a.v) AS n FROM s a JOIN s b ON a.v = b.v AND a.source < b.source", "xrefs"))
+@query("set_equality_join", "WITH s AS (SELECT n_regionkey AS source, c_nationkey AS addr, list(DISTINCT c_mktsegment ORDER BY c_mktsegment) AS v FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL) SELECT a.source AS a_source, a.addr AS a_addr, b.source AS b_source, b.addr AS b_addr, len(a.v) AS n FROM s a JOIN s b ON a.v = b.v AND a.source < b.source")
 def set_equality_join(spark, d):
-    x = shape(spark, d, "xrefs").filter("ref_type = 'READ' and from_addr % 10 = 1").withColumnRenamed("function_addr", "addr")
-    return ft.equal_sets(ft.sets(x, "to_addr", "v"), "v")
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("addr"), F.col("n_regionkey").alias("source"))
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("addr"), "c_mktsegment").join(n, "addr")
+    return ft.equal_sets(ft.sets(c, "c_mktsegment", "v"), "v")
 
 
-@query("cosine_dense", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 20 = 0 AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3")
+@query("cosine_dense", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3")
 def cosine_dense(spark, d):
-    """The stated query set (ids divisible by 20) against all vectors of the same label with a greater id."""
+    """The stated query set of searches (ids divisible by 20) against all vectors of its label."""
     e = table(spark, d, "embeddings").select("vec_id", "label", similarity.unit(F.col("embedding")).alias("u"))
     a, b = e.filter("vec_id % 20 = 0").alias("a"), e.alias("b")
-    hit = a.join(b, F.expr("a.label = b.label and a.vec_id < b.vec_id"))
+    hit = a.join(b, F.expr("a.label = b.label and a.vec_id != b.vec_id"))
     return hit.select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), F.round(similarity.dot(F.col("a.u"), F.col("b.u")), 6).alias("cosine")).filter("cosine >= 0.3")
 
 
@@ -364,17 +365,14 @@ def offset_map(spark, d):
     return recovery.offset_map(shape(spark, d, "xrefs"), 1, 33)
 
 
-THIN = "(SELECT * FROM xrefs WHERE from_addr % 10 = 1)"
-
-
-@query("writer_reader_flow", with_shapes(f" SELECT w.source, w.function_addr AS writer, r.function_addr AS reader, count(*) AS shared FROM (SELECT DISTINCT source, function_addr, to_addr FROM {THIN} WHERE ref_type = 'WRITE') w JOIN (SELECT DISTINCT source, function_addr, to_addr FROM {THIN} WHERE ref_type = 'READ') r ON w.source = r.source AND w.to_addr = r.to_addr AND w.function_addr <> r.function_addr GROUP BY ALL", "xrefs"))
+@query("writer_reader_flow", with_shapes(" SELECT w.source, w.function_addr AS writer, r.function_addr AS reader, count(*) AS shared FROM (SELECT DISTINCT source, function_addr, to_addr FROM xrefs WHERE ref_type = 'WRITE') w JOIN (SELECT DISTINCT source, function_addr, to_addr FROM xrefs WHERE ref_type = 'READ') r ON w.source = r.source AND w.to_addr = r.to_addr AND w.function_addr <> r.function_addr GROUP BY ALL HAVING count(*) >= 3", "xrefs"))
 def writer_reader_flow(spark, d):
-    return recovery.writer_reader_flow(shape(spark, d, "xrefs").filter("from_addr % 10 = 1"))
+    return recovery.writer_reader_flow(shape(spark, d, "xrefs"), 3)
 
 
-@query("shared_globals", with_shapes(f", g AS (SELECT source, to_addr, list(DISTINCT function_addr ORDER BY function_addr) FILTER (ref_type = 'WRITE') AS writers, list(DISTINCT function_addr ORDER BY function_addr) FILTER (ref_type = 'READ') AS readers FROM {THIN} WHERE to_addr >= 10 AND to_addr < 60 GROUP BY ALL) SELECT * FROM g WHERE len(writers) > 0 AND len(readers) > 0", "xrefs"))
+@query("shared_globals", with_shapes(", g AS (SELECT source, to_addr, list(DISTINCT function_addr ORDER BY function_addr) FILTER (ref_type = 'WRITE') AS writers, list(DISTINCT function_addr ORDER BY function_addr) FILTER (ref_type = 'READ') AS readers FROM xrefs WHERE to_addr >= 10 AND to_addr < 60 GROUP BY ALL) SELECT * FROM g WHERE len(writers) > 0 AND len(readers) > 0", "xrefs"))
 def shared_globals(spark, d):
-    return recovery.shared_globals(shape(spark, d, "xrefs").filter("from_addr % 10 = 1"), 10, 60)
+    return recovery.shared_globals(shape(spark, d, "xrefs"), 10, 60)
 
 
 @query("version_matrix", with_shapes(", p AS (SELECT version, lead(version) OVER (ORDER BY version) AS nxt FROM (SELECT DISTINCT version FROM versions)), a AS (SELECT p.version AS f, p.nxt AS t, v.addr, v.hash FROM p JOIN versions v ON v.version = p.version WHERE nxt IS NOT NULL), b AS (SELECT p.version AS f, p.nxt AS t, v.addr, v.hash FROM p JOIN versions v ON v.version = p.nxt) SELECT coalesce(a.f, b.f) AS \"from\", coalesce(a.t, b.t) AS \"to\", count(*) FILTER (a.hash = b.hash) AS identical, count(*) FILTER (a.hash <> b.hash) AS changed, count(*) FILTER (a.addr IS NULL) AS added, count(*) FILTER (b.addr IS NULL) AS removed FROM a FULL JOIN b ON a.f = b.f AND a.t = b.t AND a.addr = b.addr GROUP BY 1, 2", "versions"))
@@ -382,10 +380,10 @@ def version_matrix(spark, d):
     return identity.version_matrix(shape(spark, d, "versions"), F.col("version"))
 
 
-# three of the seven versions: at the fixture's sizes nothing is the same in all of them
-@query("stable_core", with_shapes(" SELECT addr, min(hash) AS hash FROM versions WHERE version < 1998 GROUP BY addr HAVING count(DISTINCT version) = (SELECT count(DISTINCT version) FROM versions WHERE version < 1998) AND count(DISTINCT hash) = 1", "versions"))
+@query("stable_core", "WITH v AS (SELECT CAST(year(o_orderdate) AS INT) AS version, o_custkey AS addr, min(o_orderstatus) AS hash FROM orders GROUP BY ALL) SELECT addr, min(hash) AS hash FROM v GROUP BY addr HAVING count(DISTINCT version) = (SELECT count(DISTINCT version) FROM v) AND count(DISTINCT hash) = 1")
 def stable_core(spark, d):
-    return identity.stable_core(shape(spark, d, "versions").filter("version < 1998"))
+    v = table(spark, d, "orders").groupBy(F.year("o_orderdate").alias("version"), F.col("o_custkey").alias("addr")).agg(F.min("o_orderstatus").alias("hash"))
+    return identity.stable_core(v)
 
 
 @query("intersect_hashes", "SELECT sha256(text) AS hash FROM documents WHERE source < 'src2' INTERSECT SELECT sha256(text) FROM documents WHERE source >= 'src2'")
@@ -582,7 +580,7 @@ def twin_precision(spark, d):
     return ft.twin_precision(shape(spark, d, "functions"), ["size", "signature"])
 
 
-@query("twin_precision_constants", with_shapes(", m AS (SELECT source, function_addr AS addr, list(DISTINCT to_addr ORDER BY to_addr) AS v FROM xrefs WHERE ref_type = 'READ' AND from_addr % 10 = 1 GROUP BY ALL) SELECT count(*) AS pairs, count(*) FILTER (a.name = b.name) AS same_name, 100.0::DOUBLE * count(*) FILTER (a.name = b.name) / nullif(count(*), 0) AS precision_pct FROM functions a JOIN functions b ON a.size = b.size AND a.source < b.source JOIN m x ON x.source = a.source AND x.addr = a.addr JOIN m y ON y.source = b.source AND y.addr = b.addr WHERE x.v = y.v", "functions", "xrefs"))
+@query("twin_precision_constants", with_shapes(", m AS (SELECT source, function_addr AS addr, list(DISTINCT ref_type ORDER BY ref_type) AS v FROM xrefs GROUP BY ALL) SELECT count(*) AS pairs, count(*) FILTER (a.name = b.name) AS same_name, 100.0::DOUBLE * count(*) FILTER (a.name = b.name) / nullif(count(*), 0) AS precision_pct FROM functions a JOIN functions b ON a.size = b.size AND a.signature = b.signature AND a.source < b.source JOIN m x ON x.source = a.source AND x.addr = a.addr JOIN m y ON y.source = b.source AND y.addr = b.addr WHERE x.v = y.v", "functions", "xrefs"))
 def twin_precision_constants(spark, d):
-    x = shape(spark, d, "xrefs").filter("ref_type = 'READ' and from_addr % 10 = 1").withColumnRenamed("function_addr", "addr")
-    return ft.twin_precision(shape(spark, d, "functions"), ["size"], ft.sets(x, "to_addr", "members"))
+    x = shape(spark, d, "xrefs").withColumnRenamed("function_addr", "addr")
+    return ft.twin_precision(shape(spark, d, "functions"), ["size", "signature"], ft.sets(x, "ref_type", "members"))
\ No newline at end of file
