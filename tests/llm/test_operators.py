@@ -448,7 +448,7 @@ def test_batches_read_whole_texts():
 # the pipeline
 
 
-def test_pipeline_against_brute_force(spark):
+def test_pipeline_against_brute_force(spark, tmp_path):
     import corpus_pipeline as p
 
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
@@ -456,8 +456,8 @@ def test_pipeline_against_brute_force(spark):
     frames = [d]
     for name, stage in p.STAGES:
         out = stage(spark, frames[-1], SF)
-        out.write.mode("overwrite").parquet(f"/tmp/factloom-test-pipeline/{name}")
-        frames.append(spark.read.parquet(f"/tmp/factloom-test-pipeline/{name}"))
+        out.write.mode("overwrite").parquet(str(tmp_path / name))
+        frames.append(spark.read.parquet(str(tmp_path / name)))
     rows = [{r["doc_id"]: r["text"] for r in f.collect()} for f in frames[:4]]
     assert all(f.columns == d.columns for f in frames[:5])
     by: dict = {}
