@@ -45,7 +45,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     Null text: size 0. Null source: a source of its own, last in order. Null doc_id: sorted first, returned as null. A
     source of size 0 takes nothing. Rows alike in source, size and doc_id are ranked in any order. Empty input: no rows.
     """
-    d = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    # the range partitioning reads its input twice, once for a sample: not the texts
+    d = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
     key = ["source", "size", "doc_id"]
     d = d.repartitionByRange(*(F.col(c).asc_nulls_last() for c in key)).sortWithinPartitions(*(F.col(c).asc_nulls_last() for c in key))
     d = stored(d.withColumn("mid", F.monotonically_increasing_id()), "mix").withColumn("part", F.shiftright("mid", 33))
