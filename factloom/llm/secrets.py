@@ -19,14 +19,17 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 KINDS = ("assign", "access", "hex", "format")
 _HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-_CANDIDATE = np.zeros(128, bool)
-_CANDIDATE[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"]] = True
+#: Candidates for the automata: whole runs, from the least length of a labelled value up.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
 _HEX = np.zeros(128, bool)
 _HEX[[ord(c) for c in "0123456789abcdef"]] = True
+_CLASS = str.maketrans("123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0" * 9 + "a" * 6 + "z" * 20 + "A" * 26)
 
 
 def symbols(s: str) -> str:
     """Classes of characters: digit 0, a-f a, other lower z, upper A, rest as they are; automata read these."""
+    if s.isascii():
+        return s.translate(_CLASS)
     return "".join("0" if c.isdigit() else "a" if "a" <= c <= "f" else "z" if c.islower() else "A" if c.isupper() else c for c in s)
 
 
@@ -127,13 +130,21 @@ class Formats:
     def __init__(self, labelled: dict[str, list[str]], ordinary: list[str], margin: float = 10.0):
         self.kinds = {k: Automaton(map(symbols, v)) for k, v in sorted(labelled.items()) if v}
         self.ordinary = Automaton(map(symbols, ordinary)) if ordinary else None
+        self._known: dict[str, float] = {}  # scores by class string, of which texts repeat few
         self.threshold = max([margin, *(self.score(w) for w in ordinary)]) if self.kinds and self.ordinary else math.inf
 
     def score(self, s: str) -> float:
         if not self.kinds or self.ordinary is None:
             return -math.inf
         x = symbols(s)
-        return max(a.log_likelihood(x) for a in self.kinds.values()) - self.ordinary.log_likelihood(x)
+        got = self._known.get(x)
+        if got is None:
+            got = max(a.log_likelihood(x) for a in self.kinds.values()) - self.ordinary.log_likelihood(x)
+            if len(self._known) >= 100_000:
+                self._known.clear()
+            if len(x) <= 200:
+                self._known[x] = got
+        return got
 
     def secret(self, s: str) -> bool:
         return self.score(s) > self.threshold
@@ -146,7 +157,7 @@ def runs(mask: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return a[long], b[long]
 
 
-def scan(texts: list[str], formats: Formats | None, least: int = 20) -> list[list[tuple[int, int, int]]]:
+def scan(texts: list[str], formats: Formats | None) -> list[list[tuple[int, int, int]]]:
     """Spans (start, kind index, end) of each text in order; base kinds first, then added ones that touch none of them."""
     cp, start = code_points(texts)
     low = np.minimum(cp, 127)  # 127 is in neither class
@@ -161,11 +172,11 @@ def scan(texts: list[str], formats: Formats | None, least: int = 20) -> list[lis
     for i, x, y in zip((np.searchsorted(start, a, side="right") - 1).tolist(), a.tolist(), b.tolist(), strict=True):
         out[i].append((x - int(start[i]), 2, y - int(start[i])))
     if formats is not None:
-        a, b = runs(_CANDIDATE[low], least)
-        for i, x, y in zip((np.searchsorted(start, a, side="right") - 1).tolist(), a.tolist(), b.tolist(), strict=True):
-            x, y = x - int(start[i]), y - int(start[i])
-            if all(e <= x or s >= y for s, k, e in out[i] if k < 3) and formats.secret(texts[i][x:y]):
-                out[i].append((x, 3, y))
+        for i, t in enumerate(texts):
+            hot = {w for w in set(CANDIDATE.findall(t)) if formats.secret(w)}
+            if hot:
+                base = list(out[i])
+                out[i] += [(m.start(), 3, m.end()) for m in CANDIDATE.finditer(t) if m[0] in hot and all(e <= m.start() or x >= m.end() for x, _, e in base)]
     return [sorted(s) for s in out]
 
 
@@ -188,7 +199,7 @@ def learn(docs: DataFrame, rows: int = 20_000, per_kind: int = 1_000, words: int
                     kind.append(KINDS[k])
                     value.append(m[2] if m else t[s:e])
                 clean = t if not spans else ""
-                for w in re.findall(r"[A-Za-z0-9+/_.=-]{8,60}", clean)[:20]:
+                for w in re.findall(r"[A-Za-z0-9+/_.=-]{6,60}", clean)[:20]:
                     kind.append("ordinary")
                     value.append(w)
             yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(value, pa.string())], ["kind", "value"])

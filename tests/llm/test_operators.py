@@ -477,3 +477,14 @@ def test_queries_are_registered():
 
     names = list(e.queries())
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+
+
+# cuts that a review found
+
+
+def test_short_bare_secrets_are_candidates():
+    r = random.Random(6)
+    hexes = ["".join(r.choice("0123456789abcdef") for _ in range(40)) for _ in range(300)]
+    plain = ["".join(r.choice("abcdefghijklmnoprstuvwy") for _ in range(r.randint(6, 20))) for _ in range(500)]
+    f = secrets.Formats({"hex": hexes}, plain)
+    assert secrets.scan(["see 9f8e7d6c5b4a3928 and 7d6c5b4a, not wonderful", "9f8e7d"], f) == [[(4, 3, 20), (25, 3, 33)], [(0, 3, 6)]]
