@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -111,6 +111,11 @@ class Automaton:
                 else:
                     self.to[p][c] = [node, k]
 
+    def prune(self, share: float) -> None:
+        """Forget steps that fewer than *share* of the sample take, or one string alone: strangers in the sample are no model."""
+        least = max(2, share * self.n[0])
+        self.to = [{c: step for c, step in to.items() if step[1] >= least} for to in self.to]
+
     def log_likelihood(self, s: str, floor: float = 1e-4) -> float:
         """Of the class string; a step that the sample never took costs log(floor) and stays in its state."""
         at, total = 0, 0.0
@@ -125,13 +130,43 @@ class Automaton:
 
 
 class Formats:
-    """One automaton for each labelled kind and one for ordinary words; a candidate's score is the log ratio."""
+    """One automaton for each labelled kind and one for ordinary words; a candidate's score is the log ratio.
+
+    A secret scores more than *threshold*: *margin*, or what settle() sets by the scores of all candidates.
+    """
+
+    #: Scores are counted in bins of this width above the margin, the last one open.
+    WIDTH, BINS = 0.25, 4_000
 
-    def __init__(self, labelled: dict[str, list[str]], ordinary: list[str], margin: float = 10.0):
+    def __init__(self, labelled: dict[str, list[str]], ordinary: list[str], margin: float = 10.0, rare: float = 5e-3):
         self.kinds = {k: Automaton(map(symbols, v)) for k, v in sorted(labelled.items()) if v}
         self.ordinary = Automaton(map(symbols, ordinary)) if ordinary else None
+        if self.ordinary:
+            self.ordinary.prune(rare)  # bare secrets that no base pattern covers are among the ordinary words
         self._known: dict[str, float] = {}  # scores by class string, of which texts repeat few
-        self.threshold = max([margin, *(self.score(w) for w in ordinary)]) if self.kinds and self.ordinary else math.inf
+        self.margin = margin
+        self.threshold = margin if self.kinds and self.ordinary else math.inf
+
+    def bin(self, s: str) -> int:
+        """0 for a score up to the margin, then one for each WIDTH."""
+        over = self.score(s) - self.margin
+        return min(self.BINS, math.ceil(over / self.WIDTH)) if over > 0 else 0
+
+    def settle(self, counts: dict[int, int], share: float = 1e-3, least: int = 10) -> None:
+        """Set the threshold to the upper edge of the bin that holds the quantile 1 - *share* of all candidates.
+
+        *counts* are candidates by bin. At least *least* of them may lie above, so that single secrets that no base pattern
+        covers don't set the bar in a small table either; the threshold is never below the margin.
+        """
+        left = max(least, math.ceil(share * sum(counts.values())))
+        for i in sorted(counts, reverse=True):
+            left -= counts[i]
+            if left < 0:
+                break
+        else:
+            i = 0
+        if self.threshold < math.inf:
+            self.threshold = self.margin + self.WIDTH * i
 
     def score(self, s: str) -> float:
         if not self.kinds or self.ordinary is None:
@@ -157,6 +192,10 @@ def runs(mask: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return a[long], b[long]
 
 
+def apart(m: re.Match, spans: list[tuple[int, int, int]]) -> bool:
+    return all(e <= m.start() or s >= m.end() for s, _, e in spans)
+
+
 def scan(texts: list[str], formats: Formats | None) -> list[list[tuple[int, int, int]]]:
     """Spans (start, kind index, end) of each text in order; base kinds first, then added ones that touch none of them."""
     cp, start = code_points(texts)
@@ -176,7 +215,7 @@ def scan(texts: list[str], formats: Formats | None) -> list[list[tuple[int, int,
             hot = {w for w in set(CANDIDATE.findall(t)) if formats.secret(w)}
             if hot:
                 base = list(out[i])
-                out[i] += [(m.start(), 3, m.end()) for m in CANDIDATE.finditer(t) if m[0] in hot and all(e <= m.start() or x >= m.end() for x, _, e in base)]
+                out[i] += [(m.start(), 3, m.end()) for m in CANDIDATE.finditer(t) if m[0] in hot and apart(m, base)]
     return [sorted(s) for s in out]
 
 
@@ -184,7 +223,8 @@ def learn(docs: DataFrame, rows: int = 20_000, per_kind: int = 1_000, words: int
     """Formats from about *rows* documents chosen by a hash of doc_id (all, if there are fewer).
 
     The labelled credentials are the values that the base patterns find there, *per_kind* of each kind at most; ordinary
-    words come from the same documents. At most 3 * per_kind + words short strings reach the driver.
+    words come from the whole of the same documents, as far as no base pattern matches in them. At most 3 * per_kind + words
+    short strings reach the driver. The threshold then comes from the scores of all candidates of all of *docs*.
     """
     n = docs.count()
     few = docs if n <= rows else docs.filter(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * rows / n))
@@ -198,8 +238,7 @@ def learn(docs: DataFrame, rows: int = 20_000, per_kind: int = 1_000, words: int
                     m = ASSIGN.match(t, s) if k == 0 else None
                     kind.append(KINDS[k])
                     value.append(m[2] if m else t[s:e])
-                clean = t if not spans else ""
-                for w in re.findall(r"[A-Za-z0-9+/_.=-]{6,60}", clean)[:20]:
+                for w in CANDIDATE.findall(t) if not spans else ():
                     kind.append("ordinary")
                     value.append(w)
             yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(value, pa.string())], ["kind", "value"])
@@ -207,7 +246,31 @@ def learn(docs: DataFrame, rows: int = 20_000, per_kind: int = 1_000, words: int
     got = few.select(F.col("text").cast("string").alias("text")).mapInArrow(found, "kind string, value string").filter("length(value) <= 200").distinct()
     sample = {k: [r["value"] for r in got.filter(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(m).collect()] for k, m in [*((k, per_kind) for k in KINDS[:3]), ("ordinary", words)]}
     ordinary = sample.pop("ordinary")
-    return Formats(sample, ordinary)
+    formats = Formats(sample, ordinary)
+    if formats.threshold < math.inf:
+        formats.settle(score_counts(docs, formats))
+    return formats
+
+
+def score_counts(docs: DataFrame, formats: Formats) -> dict[int, int]:
+    """Candidates of all whole texts by the bin of their score: those that find_secrets decides on."""
+
+    def work(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[int] = Counter()
+        for b in batches(it):
+            seen: Counter[str] = Counter()
+            texts = texts_of(b)
+            for t, spans in zip(texts, scan(texts, None), strict=True):
+                if spans:
+                    seen.update(m[0] for m in CANDIDATE.finditer(t) if apart(m, spans))
+                else:
+                    seen.update(CANDIDATE.findall(t))
+            for w, n in seen.items():
+                counts[formats.bin(w)] += n
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], ["bin", "n"])
+
+    got = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(work, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+    return {r["bin"]: r["n"] for r in got.collect()}
 
 
 def find_secrets(docs: DataFrame, formats: Formats) -> DataFrame:

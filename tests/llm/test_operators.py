@@ -488,3 +488,17 @@ def test_short_bare_secrets_are_candidates():
     plain = ["".join(r.choice("abcdefghijklmnoprstuvwy") for _ in range(r.randint(6, 20))) for _ in range(500)]
     f = secrets.Formats({"hex": hexes}, plain)
     assert secrets.scan(["see 9f8e7d6c5b4a3928 and 7d6c5b4a, not wonderful", "9f8e7d"], f) == [[(4, 3, 20), (25, 3, 33)], [(0, 3, 6)]]
+
+
+def test_unlabelled_secrets_do_not_set_the_bar(spark):
+    r = random.Random(8)
+    key = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    prose = [" ".join("".join(r.choice("abcdefghijklmnoprstuvwy") for _ in range(r.randint(6, 12))) for _ in range(30)) for _ in range(300)]
+    bare = [key(n) for n in (22, 16, 12, 20, 18)]
+    texts = [t if i % 2 else f"{t} token={key(40)}" for i, t in enumerate(prose)] + [f"{b} {prose[0]}" for b in bare[:3]] + [f"{prose[1]} {b}" for b in bare[3:]]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    f = secrets.learn(d)
+    got = {x["doc_id"]: {texts[x["doc_id"]][s["start"] : s["end"]] for s in x["found"] if s["kind"] == "format"} for x in secrets.find_secrets(d, f).collect()}
+    assert all(bare[i] in got[300 + i] for i in range(5))
+    assert sum(secrets.score_counts(d, f).values()) == sum(len(re.findall(r"[A-Za-z0-9+/_.=-]{6,}", t)) for t in texts) - 150
+    assert sum(len(v) for v in got.values()) <= 20
