@@ -1,7 +1,9 @@
-"""Substring dedup: shared k-mer seeds chained with gap costs through a Fenwick tree, and aligned."""
+"""Substring dedup: shared k-mer seeds chained with gap costs through a tree of maxima, and aligned."""
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterable, Iterator
 from itertools import groupby
 
@@ -44,35 +46,57 @@ def minimizers(words: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.n
     return pick[fresh], s[pick[fresh]]
 
 
-class Fenwick:
-    """Prefix maxima with the item that has them."""
+class Maxima:
+    """Maxima over ranges of places, with the item that has them; items leave in the order in which they came."""
 
     def __init__(self, n: int):
-        self.best: list = [(-np.inf, -1)] * (n + 1)
+        self.n = n
+        self.best: list = [(-np.inf, -1)] * (2 * n)
+        self.at: list[deque] = [deque() for _ in range(n)]
+
+    def _set(self, i: int) -> None:
+        q = self.at[i]
+        i += self.n
+        self.best[i] = q[0] if q else (-np.inf, -1)
+        while i > 1:
+            i //= 2
+            self.best[i] = max(self.best[2 * i], self.best[2 * i + 1])
 
     def put(self, i: int, value: float, item: int) -> None:
-        i += 1
-        while i < len(self.best):
-            if value > self.best[i][0]:
-                self.best[i] = (value, item)
-            i += i & -i
-
-    def below(self, i: int) -> tuple[float, int]:
-        """The largest over places < i."""
+        q = self.at[i]
+        while q and q[-1][0] <= value:  # they leave earlier and never count again
+            q.pop()
+        q.append((value, item))
+        if len(q) == 1:
+            self._set(i)
+
+    def drop(self, i: int, item: int) -> None:
+        q = self.at[i]
+        if q and q[0][1] == item:
+            q.popleft()
+            self._set(i)
+
+    def within(self, i: int, j: int) -> tuple[float, int]:
+        """The largest over places i <= place < j."""
         out = (-np.inf, -1)
-        while i > 0:
-            if self.best[i][0] > out[0]:
-                out = self.best[i]
-            i -= i & -i
+        i, j = i + self.n, j + self.n
+        while i < j:
+            if i & 1:
+                out = max(out, self.best[i])
+                i += 1
+            if j & 1:
+                j -= 1
+                out = max(out, self.best[j])
+            i, j = i // 2, j // 2
         return out
 
 
 def chains(anchors: list[tuple[int, int]], k: int, gap_cost: float = 0.05, reach: int = 60) -> list[tuple[int, int, int, int]]:
     """Collinear chains of matches (x, y) of k words: (x from, x to, y from, y to), ends exclusive, that share no match.
 
-    A chain's score is k for each match less *gap_cost* for each word skipped on either side; the best predecessor of a match is
-    the prefix maximum of score + cost * (x + y) over smaller y among the matches before it. Matches in a row on one diagonal
-    are joined to one first. A chain is cut where it skips more than *reach* words.
+    A chain's score is k for each match less *gap_cost* for each word skipped on either side; the best predecessor of a match has
+    the largest score + cost * (x + y) among those that end at most *reach* words before it on both sides; farther ones are no
+    predecessors, so that a chain is cut where it skips more. Matches in a row on one diagonal are joined to one first.
     """
     runs: list[list[int]] = []  # x, y, x of the last match, matches
     open_: dict[int, list[int]] = {}
@@ -83,25 +107,26 @@ def chains(anchors: list[tuple[int, int]], k: int, gap_cost: float = 0.05, reach
         else:
             open_[x - y] = r = [x, y, x, 1]
             runs.append(r)
-    ys = sorted({r[1] for r in runs} | {r[1] + r[2] - r[0] + k for r in runs})
-    rank = {y: i for i, y in enumerate(ys)}
-    tree = Fenwick(len(ys))
+    ends = [(r[2] + k, r[1] + r[2] - r[0] + k) for r in runs]
+    ys = sorted({y for _, y in ends})
+    tree = Maxima(len(ys))
     score, before = [0.0] * len(runs), [-1] * len(runs)
     order = sorted(range(len(runs)), key=lambda i: (runs[i][0], runs[i][1]))
-    waiting = sorted(range(len(runs)), key=lambda i: runs[i][2] + k)
-    w = 0
+    waiting = sorted(range(len(runs)), key=lambda i: ends[i][0])
+    w = gone = 0
     for i in order:
         x, y, x_last, n = runs[i]
-        while w < len(waiting) and runs[waiting[w]][2] + k <= x:  # those that end before this one starts
+        while w < len(waiting) and ends[waiting[w]][0] <= x:  # those that end before this one starts
             j = waiting[w]
-            end_x, end_y = runs[j][2] + k, runs[j][1] + runs[j][2] - runs[j][0] + k
-            tree.put(rank[end_y], score[j] + gap_cost * (end_x + end_y), j)
+            tree.put(bisect_left(ys, ends[j][1]), score[j] + gap_cost * sum(ends[j]), j)
             w += 1
+        while gone < w and ends[waiting[gone]][0] < x - reach:
+            tree.drop(bisect_left(ys, ends[waiting[gone]][1]), waiting[gone])
+            gone += 1
         own = float(x_last - x + k)
-        value, j = tree.below(rank[y] + 1)
+        value, j = tree.within(bisect_left(ys, y - reach), bisect_left(ys, y + 1))
         gain = value - gap_cost * (x + y)
-        near = j >= 0 and x - runs[j][2] - k <= reach and y - (runs[j][1] + runs[j][2] - runs[j][0]) - k <= reach
-        score[i], before[i] = (own + gain, j) if gain > 0 and near else (own, -1)
+        score[i], before[i] = (own + gain, j) if gain > 0 else (own, -1)
     out, used = [], [False] * len(runs)
     for i in sorted(range(len(runs)), key=lambda i: -score[i]):
         if used[i]:

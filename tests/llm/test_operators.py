@@ -502,3 +502,34 @@ def test_unlabelled_secrets_do_not_set_the_bar(spark):
     assert all(bare[i] in got[300 + i] for i in range(5))
     assert sum(secrets.score_counts(d, f).values()) == sum(len(re.findall(r"[A-Za-z0-9+/_.=-]{6,}", t)) for t in texts) - 150
     assert sum(len(v) for v in got.values()) <= 20
+
+
+def test_chains_pass_over_far_predecessors():
+    far, line = [(x, x + 7) for x in range(0, 400, 8)], [(x, x + 7) for x in range(500, 900, 20)]
+    assert sorted(substring_dedup.chains(far + line, 8, reach=60)) == [(0, 400, 7, 407), (500, 888, 507, 895)]
+    r = random.Random(14)
+    for _ in range(40):
+        tree, held = substring_dedup.Maxima(9), []
+        for item in range(60):
+            held.append((r.randrange(9), float(r.randrange(20)), item))
+            tree.put(*held[-1])
+            while held and r.random() < 0.5:
+                tree.drop(held[0][0], held.pop(0)[2])
+            i, j = sorted(r.choices(range(10), k=2))
+            assert tree.within(i, j)[0] == max((v for p, v, _ in held if i <= p < j), default=-np.inf)
+
+
+def test_substring_dedup_finds_a_fuzzy_passage_after_a_long_one(spark):
+    r = random.Random(12)
+    w = lambda k: [f"{r.randrange(10**6)}" for _ in range(k)]
+    rows, need = [], []
+    for i in range(20):
+        first, between, passage = w(500), w(100), w(70)
+        fuzzy = list(passage)
+        fuzzy[20], fuzzy[45] = "changed", "too"
+        rows += [(2 * i, " ".join([*first, *between, *passage, *w(30)])), (2 * i + 1, " ".join([*first, *w(100), *fuzzy, *w(30)]))]
+        need.append(2 * i + 1)
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for i in need:
+        spans = sorted((x["start"], x["end"]) for x in got if x["doc_id"] == i)
+        assert len(spans) == 2 and spans[0] == (0, 500) and spans[1][0] <= 602 and spans[1][1] >= 668, spans
