@@ -29,11 +29,15 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return _finish(np.add.reduceat(h, np.cumsum(length) - length) + length.astype(np.uint64)), np.searchsorted(begin, start)
 
 
-def minimizers(words: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the k-mers that are least among *window* in a row: any window has one, whatever surrounds it."""
+def minimizers(words: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and hashes of the k-mers that are least among *window* in a row: any window has one, whatever surrounds it.
+
+    Picks of one hash at equal steps, as in text with a period, are one: the third array has last - first place of such a run
+    times (window + 1) plus its step, and 0 for a pick by itself.
+    """
     m = len(words) - k + 1
     if m <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     s = np.zeros(m, np.uint64)
     for j in range(k):
         s = s + words[j : j + m] * _A[j % 12]
@@ -42,8 +46,25 @@ def minimizers(words: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.n
         pick = np.array([int(np.argmin(s))])
     else:
         pick = np.unique(np.argmin(np.lib.stride_tricks.sliding_window_view(s, window), axis=1) + np.arange(m - window + 1))
-    fresh = np.concatenate([[True], s[pick][1:] != s[pick][:-1]])
-    return pick[fresh], s[pick[fresh]]
+    step = np.diff(pick, prepend=pick[0])
+    same = np.concatenate([[False], s[pick][1:] == s[pick][:-1]])
+    fresh = ~same
+    fresh[1:] |= same[:-1] & (step[1:] != step[:-1])
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(pick)) - 1
+    run = np.where(last > first, (pick[last] - pick[first]) * (window + 1) + step[last], 0)
+    return pick[first], s[pick[first]], run
+
+
+def matches(at: int, run: int, partner_at: int, partner_run: int, k: int, window: int) -> Iterator[tuple[int, int]]:
+    """The anchors of a link: the two places, or where both are runs of one step, the shorter run laid along the first one."""
+    (span, step), (partner_span, partner_step) = divmod(run, window + 1), divmod(partner_run, window + 1)
+    if not step or step != partner_step:
+        yield from ((x, partner_at) for x in range(at, at + span + 1, step or 1))
+        return
+    for x in range(at, at + span + 1, partner_span + step):
+        n = min(partner_span, at + span - x)
+        yield from ((x + i, partner_at + i) for i in (*range(0, n, k), n))
 
 
 class Maxima:
@@ -163,9 +184,10 @@ def substring_dedup(docs: DataFrame, k: int = 8, window: int = 12, least: int =
     """Passages of *least* words or more that a document shares with an earlier one, exactly or nearly.
 
     One row each: doc_id, start, end, partner_id, partner_start, partner_end (words, ends exclusive), n_words, identity.
-    Seeds are minimizers of k-word hashes. All places of a seed are linked with its owner, the first by (doc_id, place), and
+    Seeds are minimizers of k-word hashes; where a period repeats one, its run is one seed with a length. All places of a seed are linked with its owner, the first by (doc_id, place), and
     with no other, so a passage in n documents gives n - 1 links. A document's links with one owner are chained; neighbouring
     chains whose owners differ are one passage, whose partner is the owner of the longest; chains are then aligned word by word.
+    Partners' words that a passage repeats count once towards *least*.
 
     Null or short text, null doc_id: no rows. A repeated doc_id is one document. Texts equal as a whole are passages too. Words
     are `[^\\x20\\x09-\\x0D]+`. Empty input: no rows.
@@ -175,18 +197,19 @@ def substring_dedup(docs: DataFrame, k: int = 8, window: int = 12, least: int =
     def seed(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
             words, first = word_hashes(texts_of(b))
-            cols: list = [[], [], []]
+            cols: list = [[], [], [], []]
             for d, i in enumerate(b.column(0).to_pylist()):
-                at, h = minimizers(words[first[d] : first[d + 1]], k, window)
-                for c, v in zip(cols, (h, np.full(len(h), i), at), strict=True):
+                at, h, run = minimizers(words[first[d] : first[d + 1]], k, window)
+                for c, v in zip(cols, (h, np.full(len(h), i), at, run), strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in cols], ["seed", "doc_id", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in cols], ["seed", "doc_id", "at", "run"])
 
-    seeds = docs.mapInArrow(seed, "seed long, doc_id long, at long")
-    place = F.col("doc_id").cast("decimal(19,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("at").cast("decimal(10,0)")
+    seeds = docs.mapInArrow(seed, "seed long, doc_id long, at long, run long")
+    # 37 digits: 19 of the doc_id, then 9 each for place and run
+    place = F.col("doc_id").cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)") + (F.col("at") * 10**9 + F.col("run")).cast("decimal(19,0)")
     owner = seeds.groupBy("seed").agg(F.min(place).alias("o"), F.min("doc_id").alias("partner_id"), F.max("doc_id").alias("far")).filter("far > partner_id")
-    owner = owner.select("seed", "partner_id", (F.col("o") - F.col("partner_id").cast("decimal(19,0)") * F.lit(10**10).cast("decimal(11,0)")).cast("long").alias("partner_at"))
-    links = seeds.join(owner.hint("merge"), "seed").filter("doc_id != partner_id").select("doc_id", "at", "partner_id", "partner_at")
+    owner = owner.select("seed", "partner_id", (F.col("o") - F.col("partner_id").cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)")).cast("long").alias("partner_place"))
+    links = seeds.join(owner.hint("merge"), "seed").filter("doc_id != partner_id").select("doc_id", "at", "run", "partner_id", "partner_place")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = links.repartition(parts, "doc_id").sortWithinPartitions("doc_id", "at")
 
@@ -194,8 +217,13 @@ def substring_dedup(docs: DataFrame, k: int = 8, window: int = 12, least: int =
         out: list = []
         for doc, rows in groupby((r for b in it for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[0]):
             by: dict[int, list] = {}
-            for _, at, partner, partner_at in rows:
-                by.setdefault(partner, []).append((at, partner_at))
+            for _, at, run, partner, partner_place in rows:
+                partner_at, partner_run = divmod(partner_place, 10**9)
+                anchors = by.setdefault(partner, [])
+                if run:
+                    anchors += matches(at, run, partner_at, partner_run, k, window)
+                else:
+                    anchors.append((at, partner_at))
             found = sorted((c[0], c[1], p, c[2], c[3]) for p, anchors in by.items() for c in chains(anchors, k, reach=reach))
             group: list = []
             end = -1
@@ -255,7 +283,7 @@ def substring_dedup(docs: DataFrame, k: int = 8, window: int = 12, least: int =
                     out += _passage(doc, lo, hi, parts_, best, least)
                     lo, parts_, best = None, [], None
                 lo, hi = (a, z) if lo is None else (min(lo, a), max(hi, z))
-                parts_.append((z - a, same))
+                parts_.append((a, z, same, partner, r + yl, s + yl))
                 if best is None or z - a > best[0]:
                     best = (z - a, partner, r + yl, s + yl)
             if lo is not None:
@@ -265,10 +293,25 @@ def substring_dedup(docs: DataFrame, k: int = 8, window: int = 12, least: int =
     return pairs.mapInArrow(measure, "doc_id long, start long, end long, partner_id long, partner_start long, partner_end long, n_words long, identity double")
 
 
+def _union(spans: list[tuple]) -> int:
+    """Words in the union of (text, start, end)."""
+    n, at = 0, None
+    for t, a, b in sorted(spans):
+        if at is None or at[0] != t:
+            at = (t, a)
+        n += max(0, b - max(a, at[1]))
+        at = (t, max(b, at[1]))
+    return n
+
+
 def _passage(doc: int, lo: int, hi: int, parts: list, best: tuple, least: int) -> list[tuple]:
     if hi - lo < least:
         return []
-    return [(doc, lo, hi, best[1], best[2], best[3], hi - lo, sum(n * s for n, s in parts) / sum(n for n, _ in parts))]
+    # a few partner's words that the document repeats are no longer than they are there
+    gaps = hi - lo - _union([(0, a, z) for a, z, *_ in parts])
+    if gaps + _union([(p, r, max(s, r + z - a)) for a, z, _, p, r, s in parts]) < least:
+        return []
+    return [(doc, lo, hi, best[1], best[2], best[3], hi - lo, sum((z - a) * same for a, z, same, *_ in parts) / sum(z - a for a, z, *_ in parts))]
 
 
 _CHAIN = "doc_id long, group long, from long, to long, partner_id long, partner_from long, partner_to long"

@@ -533,3 +533,30 @@ def test_substring_dedup_finds_a_fuzzy_passage_after_a_long_one(spark):
     for i in need:
         spans = sorted((x["start"], x["end"]) for x in got if x["doc_id"] == i)
         assert len(spans) == 2 and spans[0] == (0, 500) and spans[1][0] <= 602 and spans[1][1] >= 668, spans
+
+
+def test_substring_dedup_keeps_the_length_of_periodic_passages(spark):
+    r = random.Random(13)
+    w = lambda k: " ".join(f"{r.randrange(10**6)}" for _ in range(k))
+    slogan = {p: w(p) for p in (1, 2, 5, 11, 12)}
+    rows, whole = [], {}
+    for i, (p, t) in enumerate(slogan.items()):
+        n = 240 // p
+        own = [" ".join([t] * n), " ".join([t] * n), " ".join([t] * (3 * n)), f"{w(90)} {' '.join([t] * n)} {w(90)}"]
+        rows += [(10 * i + j, x) for j, x in enumerate(own)]
+        whole |= {10 * i + 1: (0, p * n), 10 * i + 2: (0, 3 * p * n), 10 * i + 3: (90, 90 + p * n)}
+    uneven = " ".join((["a"] * 9 + ["b", "c"]) * 20)
+    rows += [(100, uneven), (101, uneven)]
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x["doc_id"]: (x["start"], x["end"]) for x in got} == whole | {101: (0, 220)} and len(got) == len(whole) + 1
+    assert all(x["identity"] == 1.0 and x["partner_id"] == x["doc_id"] // 10 * 10 for x in got)
+    for x in got:
+        if x["doc_id"] % 10 == 1 and x["doc_id"] < 100:
+            assert (x["partner_start"], x["partner_end"]) == (x["start"], x["end"])
+
+
+def test_substring_dedup_repeats_of_few_shared_words_are_no_passage(spark):
+    few, block = "buy now cheap pills today my friend hello", " ".join(["a"] * 9 + ["b", "c"])
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(90))
+    texts = [f"{own(0)} {few} {own(1)}", " ".join([few] * 50), f"{own(2)} {block} {own(3)}", " ".join([block] * 20)]
+    assert substring_dedup.substring_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == 0
