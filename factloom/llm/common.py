@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +90,33 @@ def word_spans(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+#: The type of a row's place in its input.
+ROW = "struct<file: long, row: long>"
+
+
+def free_name(taken: Iterable[str], stem: str) -> str:
+    """A column name that is none of *taken*, nor the start of one."""
+    low = [c.lower() for c in taken]
+    return next(n for i in range(len(low) + 1) if not any(c.startswith(n := f"{stem}_{i}") for c in low))
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """*docs* with a column of ROW that is another one for each row, and that column's name, which *docs* has not.
+
+    The place is that in the Parquet files that *docs* reads, so that it costs no pass and is the same whenever a task is run again. Other
+    DataFrames, and those with more than projections and filters above the files, are stored first.
+    """
+    name = free_name(docs.columns, "at")
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").cast("long").alias("row")).alias(name)
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias", "View"):
+        plan = plan.children().head()
+    try:
+        return (docs if plan.nodeName() == "LogicalRelation" else stored(docs, "rows")).select("*", place), name
+    except AnalysisException:  # files of another kind
+        return stored(docs, "rows").select("*", place), name
+
+
 def n_words(col) -> "F.Column":
     """Number of WORD runs, JVM-side; null texts count none."""
     return F.coalesce(F.regexp_count(col, F.lit(r"[^ \t-\r]+")), F.lit(0)).cast("long")

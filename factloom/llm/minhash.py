@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, code_points, stored, texts_of, word_spans
+from .common import ROW, batches, code_points, numbered, stored, texts_of, word_spans
 
 _RNG = np.random.default_rng(20240609)
 _A, _B = (_RNG.integers(1, 2**63, 16, dtype=np.uint64) * 2 + 1 for _ in range(2))
@@ -119,6 +119,13 @@ class Rule:
         return np.isin(union, both, assume_unique=True).sum() >= self.o
 
 
+def _within(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which members of the sorted set x the sorted set y has."""
+    if not len(y):
+        return np.zeros(len(x), bool)
+    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+
+
 def _cells(h: np.ndarray) -> np.ndarray:
     return (_finish(h.astype(np.uint64)) >> np.uint64(64 - CELLS)).astype(np.int64)
 
@@ -173,6 +180,22 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """*labels* (node, comp) after *links* (a, b) between nodes, of which those without a label are components of their own.
+
+    The work is on the components that the links touch, not on all nodes again.
+    """
+
+    e = links.join(labels.toDF("a", "x"), "a", "left").join(labels.toDF("b", "y"), "b", "left")
+    e = stored(e.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).filter("a != b").distinct(), "joins")
+    if e.isEmpty():
+        return labels
+    top = components(e).toDF("comp", "top")
+    moved = labels.join(top, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    new = top.join(labels.select(F.col("node").alias("comp")), "comp", "left_anti").toDF("node", "comp")
+    return stored(moved.unionByName(new), "labels")
+
+
 def _arrow(rows: list[tuple], names: tuple, kinds: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], list(names))
 
@@ -180,8 +203,9 @@ def _arrow(rows: list[tuple], names: tuple, kinds: tuple) -> pa.RecordBatch:
 class NearDuplicates:
     """The job over one corpus; see near_duplicates()."""
 
-    def __init__(self, docs: DataFrame, words: int, num: int, den: int, k: int):
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    def __init__(self, docs: DataFrame, words: int, num: int, den: int, k: int, at: str | None = None):
+        docs, at = (docs, at) if at else numbered(docs)
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(at).alias("at"))
         self.words, self.rule = words, Rule(num, den, k)
 
     def sets(self) -> DataFrame:
@@ -190,9 +214,9 @@ class NearDuplicates:
         def work(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches(it):
                 s = shingle_sets(texts_of(b), words)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in s], pa.int64()), pa.array([node_of(x) if len(x) else None for x in s], pa.int64()), pa.array([x[:k].tobytes() for x in s], pa.binary())], ["doc_id", "n", "node", "sketch"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(x) for x in s], pa.int64()), pa.array([node_of(x) if len(x) else None for x in s], pa.int64()), pa.array([x[:k].tobytes() for x in s], pa.binary())], ["doc_id", "at", "n", "node", "sketch"])
 
-        return stored(self.docs.mapInArrow(work, "doc_id long, n long, node long, sketch binary"), "sketches")
+        return stored(self.docs.mapInArrow(work, f"doc_id long, at {ROW}, n long, node long, sketch binary"), "sketches")
 
     def postings(self, classes: DataFrame) -> DataFrame:
         """The rarest retained values of each node, so many that two partners share one: value, node, n, rare.
@@ -218,8 +242,8 @@ class NearDuplicates:
 
     def verified(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """Those of *pairs* (a, b) whose whole sets reach the threshold, after the union-sketch estimate."""
-        rule, words = self.rule, self.words
-        side = classes.select("node", "n", "sketch", "min_id")
+        rule = self.rule
+        side = classes.select("node", "n", "sketch", "who")
 
         def likely(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in it:
@@ -230,45 +254,41 @@ class NearDuplicates:
         both = both.filter(F.least("na", "nb") * rule.den >= F.greatest("na", "nb") * rule.num)
         few = stored(both.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(likely, "a long, b long"), "likely")
         nodes = few.select(F.col("a").alias("node")).union(few.select("b")).distinct()
-        ids = nodes.join(side.select("node", "min_id"), "node")
+        return self.exact(few, stored(self.whole_sets(nodes.join(side.select("node", "who"), "node")), "whole"))
 
-        whole = stored(self.whole_sets(ids), "whole")
+    def exact(self, pairs: DataFrame, whole: DataFrame) -> DataFrame:
+        """Those of *pairs* (a, b) whose sets in *whole* (node, members) reach the threshold."""
+        rule = self.rule
 
-        def exact(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def work(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in it:
                 keep = []
                 for x, y in zip(b.column(2), b.column(3), strict=True):
                     x, y = np.frombuffer(x.as_py(), np.int64), np.frombuffer(y.as_py(), np.int64)
-                    at = np.searchsorted(y, x)
-                    shared = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+                    shared = int(_within(x, y).sum())
                     keep.append(rule.den * shared >= rule.num * (len(x) + len(y) - shared))
                 yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        sets = few.join(whole.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a").join(whole.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b")
-        return stored(sets.select("a", "b", "ma", "mb").mapInArrow(exact, "a long, b long"), "links")
+        sets = pairs.join(whole.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a").join(whole.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b")
+        return stored(sets.select("a", "b", "ma", "mb").mapInArrow(work, "a long, b long"), "links")
 
     def whole_sets(self, ids: DataFrame) -> DataFrame:
-        """The sets of the nodes in *ids* (node, min_id), from their texts: node, members (int64)."""
+        """The sets of the nodes in *ids* (node, who), from the text of one row each: node, members (sorted int64)."""
         words = self.words
 
         def work(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches(it):
-                s = shingle_sets(texts_of(b), words)
-                node = b.column(0).to_pylist()
-                ok = [len(x) > 0 and node_of(x) == i for x, i in zip(s, node, strict=True)]  # ids may repeat with other texts
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, o in zip(node, ok, strict=True) if o], pa.int64()), pa.array([x.tobytes() for x, o in zip(s, ok, strict=True) if o], pa.binary())], ["node", "members"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in shingle_sets(texts_of(b), words)], pa.binary())], ["node", "members"])
 
-        texts = self.docs.join(ids.select("node", F.col("min_id").alias("doc_id")), "doc_id").select("node", "text")
+        texts = self.docs.join(ids.select("node", F.col("who.at").alias("at")), "at").select("node", "text")
         return texts.mapInArrow(work, "node long, members binary")
 
-    def rarest(self, whole: DataFrame) -> DataFrame:
-        """The rarest shingles of each whole set, so many that two partners share one: value, node, n, pos.
+    def counted(self, whole: DataFrame) -> DataFrame:
+        """Each whole set with how many of these sets hold each of its shingles: node, members, seen (int64).
 
-        How common a shingle is among these sets is counted exactly: sets are cut by ranges of hash values, a task
-        counts all values of its ranges, and the counted parts come back together by batch of sets. A shingle seen once meets nothing and isn't
-        posted, but it takes a place.
+        Sets are cut by ranges of hash values, a task counts all values of its ranges, and the counted parts come back
+        together by batch of sets.
         """
-        rule = self.rule
         total = whole.agg(F.sum(F.octet_length("members") / 8)).first()[0] or 0
         parts = max(int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total // 2_000_000) + 1)
         edges = np.linspace(0, 2.0**63, parts + 1)[1:-1].astype(np.int64)
@@ -297,7 +317,7 @@ class NearDuplicates:
             for i in range(0, len(held), 1_000):
                 yield _arrow([(*r[1:], seen[sizes[j] : sizes[j + 1]].tobytes()) for j, r in enumerate(held[i : i + 1_000], i)], ("batch", "head", "places", "members", "seen"), (pa.int64(), *[pa.binary()] * 4))
 
-        def post(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def gather(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _, rows in groupby((r for b in it for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[0]):
                 rows = list(rows)
                 node, size = np.frombuffer(next(r[1] for r in rows if r[1]), np.int64).reshape(2, -1)
@@ -305,44 +325,121 @@ class NearDuplicates:
                 for r in rows:
                     at = np.frombuffer(r[2], np.int64)
                     h[at], f[at] = np.frombuffer(r[3], np.int64), np.frombuffer(r[4], np.int64)
-                cols: list = [[], [], [], []]
-                end = 0
-                for i, n in zip(node.tolist(), size.tolist(), strict=True):
-                    x, y = h[end : end + n], f[end : end + n]
-                    end += n
-                    order = np.lexsort((x, y))[: n - rule.least(n) + 1]
-                    pos = np.flatnonzero(y[order] > 1)
-                    for c, v in zip(cols, (x[order][pos], np.full(len(pos), i), np.full(len(pos), n), pos), strict=True):
-                        c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in cols], ["value", "node", "n", "pos"])
+                end = np.cumsum(size)
+                yield _arrow([(i, h[q - n : q].tobytes(), f[q - n : q].tobytes()) for i, n, q in zip(node.tolist(), size.tolist(), end.tolist(), strict=True)], ("node", "members", "seen"), (pa.int64(), pa.binary(), pa.binary()))
+
+        parted = whole.mapInArrow(scatter, "part long, batch long, head binary, places binary, members binary").repartition(parts, "part").mapInArrow(count, "batch long, head binary, places binary, members binary, seen binary")
+        return stored(parted.repartition(parts, "batch").sortWithinPartitions("batch").mapInArrow(gather, "node long, members binary, seen binary"), "counted")
 
-        counted = whole.mapInArrow(scatter, "part long, batch long, head binary, places binary, members binary").repartition(parts, "part").mapInArrow(count, "batch long, head binary, places binary, members binary, seen binary")
-        return counted.repartition(parts, "batch").sortWithinPartitions("batch").mapInArrow(post, "value long, node long, n long, pos long")
+    def deltas(self, members: DataFrame, counted: DataFrame) -> DataFrame:
+        """What sets the sets in long lists apart from their lists' pivots, as far as two partners must share it.
 
-    def strays(self, lists: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs across components within long lists, by whole sets.
+        *members*: (node, pivot). Let D be the symmetric difference of a set and the pivot; removed values are written
+        as complements. Partners x, y differ in H = (den - num)(x + y) / (den + num) values at most, so they share
+        (|Dx| + |Dy| - H) / 2 of their D at least, and where that is none, both are linked with the pivot: a pair of two
+        components has a far member, one not linked with the pivot. Values of D are in order: added ones, the rarest first,
+        then removed ones. The first value that partners share leaves both enough of D behind it; a near set's is in its first
+        half, and so is a far one's that meets a far one. Only those are posted. Edited copies differ from their pivot in
+        values of their own, so that few of them meet here, though their sets are nearly alike.
 
-        Two partners meet in one of their rarest shingles. In each list only members outside its commonest component look for
-        partners, and sizes and places bound the overlap.
+        Rows: pivot, value, node, n, d = |D|, left (of D from this value on), near, half; a null value is a link of
+        node and pivot.
         """
-        rule = self.rule
-        ids = lists.select("node").distinct().join(classes.select("node", "min_id"), "node")
-        whole = stored(self.whole_sets(ids).dropDuplicates(["node"]), "dense")
-        posted = self.rarest(whole).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        posted = stored(posted, "places")
-        sizes = posted.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n0"))
-        main = sizes.groupBy("value").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.min("n0").alias("n0"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-        t = rule.num / (rule.num + rule.den)
-        stray = posted.join(main, "value").filter("comp != main").filter(F.col("n") - F.col("pos") >= t * (F.col("n") + F.greatest(F.col("n0"), F.col("n") * (rule.num / rule.den))) - 1e-6)
-        x, y = stray.select("value", "node", "n", "pos", "comp").alias("x"), posted.alias("y")
-        need = t * (F.col("x.n") + F.col("y.n")) - 1e-6
-        size = F.least("x.n", "y.n") * rule.den >= F.greatest("x.n", "y.n") * rule.num
-        return x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.comp") != F.col("y.comp")) & size & (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= need)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        num, den = self.rule.num, self.rule.den
+
+        def work(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kinds = (pa.int64(),) * 6 + (pa.bool_(),) * 2
+            for b in it:
+                cols: list = [[] for _ in kinds]
+                for node, pivot, x, f, c, g in zip(*b.columns, strict=True):
+                    x, f, c, g = (np.frombuffer(y.as_py(), np.int64) for y in (x, f, c, g))
+                    new, gone = ~_within(x, c), ~_within(c, x)
+                    a, r = x[new], c[gone]
+                    d = len(a) + len(r)
+                    if not d:
+                        continue
+                    i, j = np.lexsort((a, f[new])), np.lexsort((r, -g[gone]))
+                    value = np.concatenate([a[i], ~r[j]])
+                    met = np.concatenate([f[new][i] > 1, np.ones(len(r), bool)])
+                    left = np.arange(d, 0, -1)
+                    half = (num + den) * (2 * left - d) + (den - num) * (len(x) - len(c)) > 0
+                    near = (num + den) * d <= (den - num) * (len(x) + len(c))
+                    keep = np.flatnonzero(met & (half if near else left >= max(1, d - (den - num) * len(x) // num)))
+                    if near:
+                        for col, v in zip(cols, (pivot.as_py(), None, node.as_py(), len(x), d, d, True, True), strict=True):
+                            col.append(pa.array([v]))
+                    m = len(keep)
+                    for col, v in zip(cols, (np.full(m, pivot.as_py()), value[keep], np.full(m, node.as_py()), np.full(m, len(x)), np.full(m, d), left[keep], np.full(m, near), half[keep]), strict=True):
+                        col.append(pa.array(v))
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([y.cast(k) for y in col]) if col else pa.array([], k) for col, k in zip(cols, kinds, strict=True)], ["pivot", "value", "node", "n", "d", "left", "near", "half"])
+
+        x, c = counted.toDF("node", "members", "seen"), counted.toDF("pivot", "pivot_members", "pivot_seen")
+        both = members.join(x, "node").join(c, "pivot").select("node", "pivot", "members", "seen", "pivot_members", "pivot_seen")
+        return stored(both.mapInArrow(work, "pivot long, value long, node long, n long, d long, left long, near boolean, half boolean"), "deltas")
+
+    def crossing(self, x: str, y: str) -> "F.Column":
+        """Whether two postings of one value may be partners' first shared one, and are of two components."""
+        num, den = self.rule.num, self.rule.den
+        c = lambda s, k: F.col(f"{s}.{k}")
+        enough = (num + den) * (c(x, "d") + c(y, "d")) - (den - num) * (c(x, "n") + c(y, "n")) <= 2 * (num + den) * F.least(c(x, "left"), c(y, "left"))
+        size = F.least(c(x, "n"), c(y, "n")) * den >= F.greatest(c(x, "n"), c(y, "n")) * num
+        meet = F.when(c(x, "near"), ~c(y, "near")).when(c(y, "near"), True).otherwise(c(x, "half") & c(y, "half"))
+        return (c(x, "comp") != c(y, "comp")) & meet & size & enough
+
+    def dense(self, lists: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+        """Labels after the links that cross components within long lists (value, node, rare), by differences from pivots.
+
+        Postings are first compared with the nearest to the pivot and with their neighbours in order of that distance,
+        the links are contracted, and only pairs that still cross components are compared after that.
+        """
+        pivot = lists.groupBy("value").agg(F.min_by("node", F.struct("rare", "node")).alias("pivot"))
+        members = stored(lists.join(pivot, "value").select("node", "pivot").distinct(), "members")
+        ids = members.select("node").union(members.select("pivot")).distinct().join(classes.select("node", "who"), "node")
+        whole = self.counted(stored(self.whole_sets(ids), "dense"))
+        found = self.deltas(members.filter("node != pivot"), whole)
+        labels = contracted(labels, found.filter("value is null").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+        posted = found.filter("value is not null")
+        for nearest in (True, False):
+            named = posted.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            open_ = named.groupBy("pivot", "value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("node", "n", "d", "left", "near", "half", "comp"), F.struct("d", "node")).alias("first")).filter("lo != hi")
+            named = stored(named.join(open_.select("pivot", "value", "first"), ["pivot", "value"]), "open-deltas")
+            if nearest:
+                pairs = named.alias("x").select("x.*", "first").filter(self.crossing("x", "first")).select(F.col("node").alias("a"), F.col("first.node").alias("b")).union(self.neighbours(named))
+            else:
+                x, y = named.filter("not near").alias("x"), named.alias("y")
+                same = (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.value") == F.col("y.value")) & self.crossing("x", "y")
+                # two far ones meet by halves; a far and a near one by any posting
+                far = x.filter("half").join(y.filter("half and not near"), same & (F.col("x.node") < F.col("y.node")))
+                pairs = far.select("x.node", "y.node").union(x.join(y.filter("near"), same).select("x.node", "y.node")).toDF("a", "b")
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            labels = contracted(labels, self.exact(stored(pairs, "crossing"), whole))
+        return labels
+
+    def neighbours(self, named: DataFrame) -> DataFrame:
+        """Pairs (a, b) of postings of one value that follow each other in order of d; a range partitioning, so no task holds a whole list."""
+        num, den = self.rule.num, self.rule.den
+        key = ["pivot", "value", "d", "node"]
+
+        def work(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last = None
+            for b in it:
+                t = pa.Table.from_batches([b] if last is None else [last, b])
+                last = b.slice(b.num_rows - 1)
+                c = {k: t.column(k).to_numpy(zero_copy_only=False) for k in ("pivot", "value", "node", "n", "d", "left", "near", "half", "comp")}
+                x, y = ({k: v[s] for k, v in c.items()} for s in (slice(None, -1), slice(1, None)))
+                enough = (num + den) * (x["d"] + y["d"]) - (den - num) * (x["n"] + y["n"]) <= 2 * (num + den) * np.minimum(x["left"], y["left"])
+                size = np.minimum(x["n"], y["n"]) * den >= np.maximum(x["n"], y["n"]) * num
+                meet = (x["near"] != y["near"]) | (~x["near"] & ~y["near"] & x["half"] & y["half"])
+                ok = (x["pivot"] == y["pivot"]) & (x["value"] == y["value"]) & (x["comp"] != y["comp"]) & meet & size & enough
+                yield pa.RecordBatch.from_arrays([pa.array(x["node"][ok]), pa.array(y["node"][ok])], ["a", "b"])
+
+        rows = named.select("pivot", "value", "node", "n", "d", "left", "near", "half", "comp")
+        return rows.repartitionByRange(*key).sortWithinPartitions(*key).mapInArrow(work, "a long, b long")
 
     def run(self) -> DataFrame:
         sets = self.sets()
         has = sets.filter("node is not null")
-        classes = stored(has.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("min_id")), "classes")
+        classes = stored(has.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "at")).alias("who")), "classes")
         posted = stored(self.postings(classes), "postings")
         # first each list's centres, the members of the commonest values, against the others
         many = posted.groupBy("value").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
@@ -363,17 +460,16 @@ class NearDuplicates:
         x, y = (rest.filter(F.col("m") <= SMALL).alias(s) for s in "xy")
         size = F.least("x.n", "y.n") * self.rule.den >= F.greatest("x.n", "y.n") * self.rule.num
         pairs = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & size).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+        labels = contracted(labels, self.verified(stored(pairs, "crossing"), classes))
         long_ = rest.filter(F.col("m") > SMALL)
         if not long_.isEmpty():
-            pairs = pairs.union(self.strays(long_, classes, labels)).distinct()
-        more = self.verified(stored(pairs, "crossing"), classes)
-        if not more.isEmpty():
-            labels = components(links.union(more))
+            labels = self.dense(long_.select("value", "node", "rare"), classes, labels)
         named = classes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        least = named.groupBy("comp").agg(F.min("min_id").alias("component_id"))
-        named = named.select("node", "comp").join(least, "comp").select("node", "component_id")
-        out = sets.select("doc_id", "n", "node").join(named, "node", "left")
-        return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        least = named.groupBy("comp").agg(F.min("who").alias("least"))
+        named = named.select("node", "comp").join(least, "comp").select("node", "least")
+        out = sets.select("doc_id", "at", "n", "node").join(named, "node", "left")
+        alone = F.col("node").isNull()
+        return out.select("at", "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"), (alone | (F.col("least.at") == F.col("at"))).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, k: int = 32) -> DataFrame:
@@ -382,11 +478,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     Documents whose sets of *words*-word shingles have a Jaccard of num / den or more are linked. Rows of equal sets are one
     node. Each node keeps the k least hashes of its set; a pair at the threshold shares so many of them that one is among the
     rarest k - o + 1 of both (chance of less: LOSS), so only these are posted. In each inverted list centres are compared with
-    the others, the links give components, and pairs that cross components are compared after that: all of them in
-    short lists, those that whole sets allow in long ones. The union-sketch estimate drops unlikely pairs, exact Jaccard on
-    whole sets decides. Copies and dense groups cost in proportion to their size unless their members cross components.
-
-    Null or wordless text: an empty set, linked with nothing. Null doc_id: linked to its exact set only; it has the id
-    of that set or null. A repeated doc_id is two documents of one id. Other columns are ignored. Empty input: no rows.
+    the others, the links give components, and pairs that cross components are compared after that: all of them in lists of
+    SMALL members at most, in longer ones those whose differences from the list's pivot allow it (NearDuplicates.deltas;
+    lossless, so SMALL changes the time and not the result). The union-sketch estimate drops unlikely pairs, exact Jaccard on
+    whole sets decides. Copies and edited copies cost in proportion to their number, unless many share their edits too and
+    still are of several components.
+
+    Rows are told apart by their place in the input and not by doc_id. kept: one row of each component, the one of least
+    doc_id (nulls last), ties by place. Null or wordless text: an empty set, linked with nothing, kept. Null doc_id: linked
+    like any other; a component of null ids only has the id null. A repeated doc_id is two documents of one id. Other
+    columns are ignored. Empty input: no rows.
     """
-    return NearDuplicates(docs, words, num, den, k).run()
+    return NearDuplicates(docs, words, num, den, k).run().drop("at")
+
+
+def survivors(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, k: int = 32) -> DataFrame:
+    """The rows of *docs* that near_duplicates() keeps, with all their columns, whatever their names."""
+    rows, at = numbered(docs)
+    return rows.join(NearDuplicates(rows, words, num, den, k, at).run().filter("kept").select(F.col("at").alias(at)), at, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, stored
+from .common import n_words, numbered, stored
 
 
 def targets(totals: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
@@ -43,11 +43,24 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     and the row counts by (partition, source): no task holds a source, and a hot one is spread over many.
 
     Null text: size 0. Null source: a source of its own, last in order. Null doc_id: sorted first, returned as null. A
-    source of size 0 takes nothing. Rows alike in source, size and doc_id are ranked in any order. Empty input: no rows.
+    source of size 0 takes nothing. Rows alike in source, size and doc_id are ranked by their place in the input. Empty input:
+    no rows. Other columns are ignored.
     """
+    return _mix(*numbered(docs), weights, share, cap, seed).drop("at")
+
+
+def emitted(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:
+    """The mix itself: each row of *docs* as often as mix() has copies of it, with all its columns, whatever their names."""
+    rows, at = numbered(docs)
+    some = _mix(rows, at, weights, share, cap, seed).filter("copies > 0").select(F.col("at").alias(at), F.col("copies").alias(f"{at}_copies"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return rows.join(some, at).select(*names, F.explode(F.sequence(F.lit(1), F.col(f"{at}_copies"))).alias(f"{at}_copy")).select(*names)
+
+
+def _mix(docs: DataFrame, at: str, weights: Sequence[float], share: float, cap: float, seed: int) -> DataFrame:
     # the range partitioning reads its input twice, once for a sample: not the texts
-    d = stored(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
-    key = ["source", "size", "doc_id"]
+    d = stored(docs.select("doc_id", F.col(at).alias("at"), "source", n_words(F.col("text")).alias("size")), "sizes")
+    key = ["source", "size", "doc_id", "at"]
     d = d.repartitionByRange(*(F.col(c).asc_nulls_last() for c in key)).sortWithinPartitions(*(F.col(c).asc_nulls_last() for c in key))
     d = stored(d.withColumn("mid", F.monotonically_increasing_id()), "mix").withColumn("part", F.shiftright("mid", 33))
     runs = d.groupBy("part", "source").agg(F.min("mid").alias("first"), F.count(F.lit(1)).alias("rows"), F.sum("size").alias("words"))
@@ -61,9 +74,5 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     rank = F.col("mid") - F.col("first") + F.col("ahead")
     out = d.alias("d").join(runs.alias("r"), F.expr("d.part = r.part and d.source <=> r.source")).withColumn("offset", offset).withColumn("rate", expected).withColumn("rank", rank.cast("double"))
     copies = (F.floor((F.col("rank") + 1.0) * F.col("rate") + F.col("offset")) - F.floor(F.col("rank") * F.col("rate") + F.col("offset"))).cast("long")
-    return out.select("doc_id", "d.source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
-
+    return out.select("at", "doc_id", "d.source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
-def expand(mixed: DataFrame) -> DataFrame:
-    """The mix itself: one row per emitted copy, numbered from 0 in *copy*."""
-    return mixed.filter("copies > 0").withColumn("copy", F.explode(F.expr("sequence(0L, copies - 1)")))

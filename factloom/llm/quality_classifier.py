@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, code_points, texts_of, word_spans
+from .common import batches, code_points, free_name, texts_of, word_spans
 from .quality_rules import _word_ids
 from .toxicity import _chunked
 
@@ -160,13 +160,14 @@ def select(docs: DataFrame, model: CumulativeLink, least: int = 1, tail: float =
 
 def _appended(docs: DataFrame, model: CumulativeLink, least: int, tail: float, keep: list[str], only: bool = False) -> DataFrame:
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep]
+    made = [f"{free_name(keep, 'made')}_{x}" for x in ("expected_grade", "tail", "selected")]
 
     def work(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
             p = model.tails(model.latent(texts_of(b)))
             ok = p[:, least - 1] >= tail
-            out = pa.RecordBatch.from_arrays([*(b.column(i) for i, c in enumerate(b.schema.names) if c in keep), pa.array(p.sum(1)), pa.array(p[:, least - 1]), pa.array(ok)], [*(c for c in b.schema.names if c in keep), "__expected", "__tail", "__selected"])
+            out = pa.RecordBatch.from_arrays([*(b.column(i) for i, c in enumerate(b.schema.names) if c in keep), pa.array(p.sum(1)), pa.array(p[:, least - 1]), pa.array(ok)], [*(c for c in b.schema.names if c in keep), *made])
             yield out.filter(pa.array(ok)) if only else out
 
-    out = docs.mapInArrow(work, ", ".join([*fields, "__expected double", "__tail double", "__selected boolean"]))
-    return out.withColumnsRenamed({} if only else {"__expected": "expected_grade", "__tail": "tail", "__selected": "selected"})
+    out = docs.mapInArrow(work, ", ".join([*fields, f"{made[0]} double", f"{made[1]} double", f"{made[2]} boolean"]))
+    return out if only else out.withColumnsRenamed(dict(zip(made, ("expected_grade", "tail", "selected"), strict=True)))

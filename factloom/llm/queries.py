@@ -69,7 +69,7 @@ def op10_secret_scan(spark, sf_dir):
 
 
 def op7_minhash_near_dedup(spark, sf_dir):
-    return near_duplicates(documents(spark, sf_dir), words=3, num=85)
+    return near_duplicates(documents(spark, sf_dir), words=3, num=85).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op9_source_mix(spark, sf_dir):

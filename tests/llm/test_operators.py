@@ -102,7 +102,12 @@ def test_mix(spark):
     again = mixing.mix(d.repartition(7)).collect()
     assert sorted(map(str, rows)) == sorted(map(str, again))
     assert mixing.mix(none(spark)).count() == 0 and mixing.mix(odd_docs(spark)).count() == 13
-    assert mixing.expand(mixing.mix(d)).count() == sum(r["copies"] for r in rows)
+    got = mixing.emitted(d)
+    assert got.columns == d.columns and got.count() == sum(r["copies"] for r in rows)
+    taken = collections.Counter()
+    for r in rows:
+        taken[r["doc_id"]] += r["copies"]
+    assert collections.Counter(r["doc_id"] for r in got.collect()) == +taken
 
 
 # 6 packing
@@ -243,6 +248,41 @@ def test_near_duplicates(spark, n, num):
     assert got == want
 
 
+def dense_group(seed, copies, length, edits, words):
+    """Edited copies of one text and of some of its copies: edits replace, drop or add a word, so that many copies link with each other only."""
+    r = random.Random(seed)
+    vocab = [f"v{i}" for i in range(words)]
+    base = [r.choice(vocab) for _ in range(length)]
+    made = [base]
+    for _ in range(copies):
+        t = list(base if r.random() < 0.7 else r.choice(made))
+        for _ in range(r.choice(edits)):
+            i = r.randrange(len(t))
+            t[i : i + 1] = r.choice([[r.choice(vocab)], [], [t[i], r.choice(vocab)]])
+        made.append(t)
+    made += [base[: len(base) - i] for i in range(0, length // 2, 2)]  # cut copies: a chain
+    return [(i, " ".join(t)) for i, t in enumerate(made)]
+
+
+@pytest.mark.parametrize(("n", "num", "length", "edits"), [(3, 85, 100, [0, 1, 2, 3, 4, 5, 6]), (5, 80, 80, [2, 3, 4])])
+def test_near_duplicates_in_a_dense_group(spark, n, num, length, edits):
+    rows = dense_group(n, 500, length, edits, 60)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute_components(rows, n, num, 100)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(d, n, num).collect()}
+    assert got == want
+
+
+def test_near_survivors_by_place(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, text, "a"), (None, text + " x", "b"), (7, text, "c"), (7, text, "c"), (None, "other words only", "d"), (None, None, "e"), (3, "", "f")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, at_0 string")
+    got = minhash.survivors(d)
+    assert got.columns == d.columns and got.count() == 4
+    assert sorted((r["doc_id"] or 0, r["at_0"]) for r in got.collect()) == [(0, "d"), (0, "e"), (3, "f"), (7, "c")]
+    assert minhash.survivors(none(spark)).count() == 0
+
+
 def test_near_duplicates_odd_rows(spark):
     d = odd_docs(spark)
     got = minhash.near_duplicates(d, 3, 85).collect()
@@ -472,6 +512,34 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert frames[5].agg(F.sum("length")).first()[0] == sum(n * (len(queries.gpt_encoder()()(rows[3][i])) + 1) for i, n in copies.items())
 
 
+def test_pipeline_run_on_odd_rows(spark, tmp_path):
+    """Null and equal ids, null and empty texts, clashing columns: run() is its stages' result; and no documents give no rows."""
+    import corpus_pipeline as p
+
+    one = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(40).collect()]
+    rows = [(None, t) for t in one[:10]] + [(i // 2, t) for i, t in enumerate(one[10:])] + [(None, None), (None, ""), (99, one[0])]
+    d = spark.createDataFrame([(*r, "s", True, 1.0, "c") for r in rows], "doc_id long, text string, source string, kept boolean, tail double, made_0_tail string")
+    d.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    model = quality_classifier.train(docs, quality_classifier.ratings(spark.read.parquet(str(tmp_path / "labels.parquet"))))
+    selected = [r["selected"] for r in quality_classifier.grade(docs, model).collect()]
+    kept = [r["text"] or "" for r, s in zip(docs.collect(), selected, strict=True) if s]
+    texts = sorted(set(kept))
+    comp = brute_components(list(enumerate(texts)), 5, 80, 100)
+    groups = len({c for _, c in comp.values()})
+    near = p.near(spark, p.exact(spark, p.quality(spark, docs, str(tmp_path)), str(tmp_path)), str(tmp_path))
+    assert near.count() == groups and near.columns == d.columns
+    copies = sum(r["copies"] for r in mixing.mix(near).collect())
+    assert p.mixed(spark, near, "").count() == copies <= 2 * groups
+    out = p.run(spark, str(tmp_path))
+    assert out.filter("piece = 0").count() == copies
+    empty = tmp_path / "none"
+    d.limit(0).write.parquet(str(empty / "documents.parquet"))
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(empty / "labels.parquet"))
+    assert p.run(spark, str(empty)).count() == 0
+
+
 def test_queries_are_registered():
     import __spark_entry__ as e
 
