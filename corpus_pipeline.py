@@ -1,18 +1,18 @@
 """The corpus pipeline: quality classifier, exact dedup, near dedup, mixing, packing; each stage on all its predecessor kept.
 
-doc_id is the documents' key; a null doc_id is a document like any other. Stages keep all columns, whatever their names.
+Rows are told apart by their place in the input, so rows of null or equal doc_id are documents like any other. All stages but the
+last keep all columns, whatever their names. Empty documents: no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from factloom.llm import quality_classifier
 from factloom.llm.common import documents, stored
 from factloom.llm.exact_dedup import survivors
-from factloom.llm.minhash import near_duplicates
-from factloom.llm.mixing import mix
+from factloom.llm.minhash import survivors as near_survivors
+from factloom.llm.mixing import emitted
 from factloom.llm.packing import pack, pieces
 from factloom.llm.queries import gpt_encoder
 
@@ -30,16 +30,12 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of documents that share 0.8 of their five-word shingles, the one with the smallest doc_id."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return near_survivors(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: documents it emits twice are two rows, those it doesn't emit go."""
-    copies = mix(docs).filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    both = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return both.select(*names, F.explode(F.expr("sequence(1L, __copies)")).alias("__copy")).select(*names)
+    return emitted(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
