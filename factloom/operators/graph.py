@@ -8,15 +8,20 @@ from pyspark.sql import functions as F
 from .tables import fixed
 
 
+def arrows(edges: DataFrame) -> DataFrame:
+    """Distinct edges (src, dst) without null ends, written once: loops read them every round."""
+    return fixed(edges.select("src", "dst").filter("src is not null and dst is not null").distinct())
+
+
 def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, include_seeds: bool = True) -> DataFrame:
     """(node, depth) of what *seeds* (node) reach over *edges* (src, dst); depth is the least.
 
     Breadth first: a round extends only the nodes found last and drops those known, so cycles end. Without *include_seeds* a
     seed is in the result only if an edge leads to it. Null ends are no edges.
     """
-    e = edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
-    seen = fixed(seeds.select("node").filter("node is not null").distinct().withColumn("depth", F.lit(0)))
-    frontier, depth, returns = seen, 0, None
+    e = arrows(edges)
+    seen = frontier = fixed(seeds.select("node").filter("node is not null").distinct().withColumn("depth", F.lit(0)))
+    depth, returns = 0, None
     while max_depth is None or depth < max_depth:
         depth += 1
         step = frontier.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
@@ -26,7 +31,7 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, incl
         frontier = fixed(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
-        seen = fixed(seen.union(frontier))
+        seen = seen.union(frontier)  # each round is written once; what is known is their union
     if include_seeds:
         return seen
     again = returns.groupBy("node").agg(F.min("depth").alias("depth")) if returns is not None else seen.limit(0)
@@ -40,21 +45,21 @@ def reverse_reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = No
 
 def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """All pairs (src, dst) joined by a path of one edge or more: semi-naive, only new pairs are extended."""
-    e = edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
-    known = fixed(e)
-    fresh, depth = known, 1
+    e = arrows(edges)
+    known, fresh, depth = e, e, 1
     step = e.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
     while max_depth is None or depth < max_depth:
         depth += 1
         fresh = fixed(fresh.join(step, "dst").select("src", F.col("next").alias("dst")).distinct().join(known, ["src", "dst"], "left_anti"))
         if fresh.isEmpty():
             break
-        known = fixed(known.union(fresh))
+        known = known.union(fresh)
     return known
 
 
 def reach_counts(edges: DataFrame, nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Each of *nodes* (node) with its direct and reachable callees; 0 where it has none."""
+    edges = arrows(edges)
     direct = edges.filter("src is not null and dst is not null").groupBy(F.col("src").alias("node")).agg(F.count_distinct("dst").alias("direct"))
     all_ = closure(edges, max_depth).groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("reachable"))
     return nodes.join(direct, "node", "left").join(all_, "node", "left").na.fill(0, ["direct", "reachable"])
@@ -71,7 +76,8 @@ def unreachable(edges: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFra
 
 def shared_callees(edges: DataFrame, least: int = 3) -> DataFrame:
     """Pairs of callers a < b with *least* callees or more in common."""
-    e = edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
+    e = arrows(edges)
+    e = e.join(e.groupBy("src").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least), "src", "left_semi")  # others have too few callees
     a, b = e.alias("a"), e.alias("b")
     both = a.join(b, (F.col("a.dst") == F.col("b.dst")) & (F.col("a.src") < F.col("b.src")))
     return both.groupBy(F.col("a.src").alias("a"), F.col("b.src").alias("b")).agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
@@ -83,7 +89,7 @@ def affinity(edges: DataFrame, direct: DataFrame, decay: float = 0.5, depth: int
     Level by level: the weights at d steps are those at d - 1 sent along the edges once, so a callee counts once for each path
     of at most *depth* edges, cycles included. *direct*: node, label, weight.
     """
-    e = edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
+    e = arrows(edges)
     level = fixed(direct.select("node", "label", F.col("weight").cast("double").alias("weight")))
     total = level
     for _ in range(depth):
@@ -101,7 +107,7 @@ def propagate_labels(edges: DataFrame, known: DataFrame, least_links: int = 2, r
     labelled nodes.
     """
     e = edges.select("src", "dst").filter("src is not null and dst is not null")
-    e = e.union(e.select("dst", "src")).distinct()
+    e = fixed(e.union(e.select("dst", "src")).distinct())
     held = fixed(known.select("node", "label").withColumn("round", F.lit(0)))
     for i in range(1, rounds + 1):
         votes = e.join(held.select(F.col("node").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("node"), "label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_links)
@@ -110,7 +116,7 @@ def propagate_labels(edges: DataFrame, known: DataFrame, least_links: int = 2, r
         added, before = fresh.count(), held.count()
         if not added:
             break
-        held = fixed(held.union(fresh))
+        held = held.union(fresh)
         if added < share * before:
             break
     return held

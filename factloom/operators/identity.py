@@ -7,41 +7,43 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .features import twins
+from .names import auto_named
+from .tables import sized
 
 KEY = ["source", "addr"]
 
 
-def auto_named(name) -> Column:
-    """Names that an extractor made up; a null name is one."""
-    return F.coalesce(name.startswith("FUN_"), F.lit(True))
-
-
-# fixed values: confidence of each tier
-TIERS = {"hash": 1.0, "signature_name": 0.96, "signature_one_sided": 0.85}
+# fixed values: methods and their confidence
+HASH, NAMED, UNNAMED = "body_hash_exact", "structural_8tuple_name_match", "structural_8tuple_no_name"
+TIERS = {HASH: 1.0, NAMED: 0.96, UNNAMED: 0.85}
 # end of fixed values
 
 
 def fingerprint_tiers(features: DataFrame, columns: Sequence[str], builds: DataFrame) -> DataFrame:
     """Functions with the best name that a twin in another source of the same build gives them, its confidence, method and conflict.
 
-    Twins agree on *columns*. Equal hashes: 1.0; equal real names: .96; a real name on one side only: .85, to the other side.
-    *builds*: source, build; only sources of one build are compared. Conflict: a second real name is claimed for the function.
+    Twins agree on *columns*. Equal hashes: 1.0, and the method says whether the names agree or only the twin's is real; equal
+    real names: .96; a real name on one side only: .85, to both sides. The name is null where the best twin has no real one.
+    *builds*: source, build; only sources of one build are compared. Conflict: twins have more than one real name. Ties: method,
+    real names first, then by name. A function meets the distinct (source, name, hash) of its signature and not each twin.
     """
     f = features.join(builds, "source")
-    pairs = twins(f, [*columns, "build"])
-    names = f.select(*KEY, "body_hash")
-    pairs = pairs.join(names.select(F.col("source").alias("a_source"), F.col("addr").alias("a_addr"), F.col("body_hash").alias("a_hash")), ["a_source", "a_addr"])
-    pairs = pairs.join(names.select(F.col("source").alias("b_source"), F.col("addr").alias("b_addr"), F.col("body_hash").alias("b_hash")), ["b_source", "b_addr"])
-    both = pairs.select(F.explode(F.array(F.struct(F.col("a_source").alias("source"), F.col("a_addr").alias("addr"), F.col("a_name").alias("own"), F.col("b_name").alias("claimed"), (F.col("a_hash") == F.col("b_hash")).alias("same")), F.struct(F.col("b_source").alias("source"), F.col("b_addr").alias("addr"), F.col("b_name").alias("own"), F.col("a_name").alias("claimed"), (F.col("a_hash") == F.col("b_hash")).alias("same")))).alias("x")).select("x.*")
-    real = ~auto_named(F.col("claimed"))
-    method = F.when(F.coalesce("same", F.lit(False)), "hash").when(F.col("own") == F.col("claimed"), "signature_name").when(auto_named(F.col("own")), "signature_one_sided")
-    claims = both.filter(real).withColumn("method", method).filter("method is not null")
-    level = F.lit(None).cast("double")
-    for k, v in TIERS.items():
-        level = F.coalesce(level, F.when(F.col("method") == k, F.lit(v)))
-    claims = claims.withColumn("confidence", level)
-    best = claims.groupBy(*KEY).agg(F.min_by(F.struct("claimed", "confidence", "method"), F.struct(-F.col("confidence"), F.col("method"), F.col("claimed"))).alias("b"), F.size(F.collect_set("claimed")).alias("names"))
+    key = [*columns, "build"]
+    sides = f.select("source", "name", "body_hash", *key).distinct()
+    own, other = f.select(F.xxhash64(*key).alias("k"), *KEY, "name", "body_hash", *key).alias("f"), sides.withColumn("k", F.xxhash64(*key)).alias("t")
+    same = F.col("f.k") == F.col("t.k")
+    for c in key:
+        same = same & (F.col(f"f.{c}") == F.col(f"t.{c}"))
+    said = F.col("t.name")
+    auto, auto_said = auto_named(F.col("f.name")), auto_named(said)
+    agree = ~auto & ~auto_said & (F.col("f.name") == said)
+    detail = F.when(agree, f"{HASH}+{NAMED}").when(auto & ~auto_said, f"{HASH}+{UNNAMED}").otherwise(HASH)
+    tier = F.when(F.col("f.body_hash") == F.col("t.body_hash"), HASH).when(agree, NAMED).when(auto != auto_said, UNNAMED)
+    level = F.coalesce(*(F.when(F.col("tier") == k, F.lit(v)) for k, v in TIERS.items()))
+    claims = own.join(other, same & (F.col("f.source") != F.col("t.source"))).select("f.source", "f.addr", F.when(~auto_said, said).alias("claimed"), tier.alias("tier"), F.when(tier == HASH, detail).otherwise(tier).alias("method"))
+    claims = claims.filter("tier is not null").withColumn("confidence", level)
+    order = F.struct(-F.col("confidence"), F.col("method"), F.col("claimed").isNull(), F.col("claimed"))
+    best = claims.groupBy(*KEY).agg(F.min_by(F.struct("claimed", "confidence", "method"), order).alias("b"), F.size(F.collect_set("claimed")).alias("names"))
     return best.select(*KEY, F.col("b.claimed").alias("inferred_name"), F.col("b.confidence").alias("confidence"), F.col("b.method").alias("evidence_method"), (F.col("names") > 1).alias("conflict"))
 
 
@@ -60,20 +62,32 @@ def coverage(left: DataFrame, right: DataFrame, keys: Sequence[str], by: Sequenc
 
 
 def name_match(truth: Column, guess: Column) -> Column:
-    """exact, contained, similar (over half of the larger token set shared) or wrong; case and leading underscores don't count."""
-    clean = lambda c: F.regexp_replace(F.lower(F.trim(c)), "^_+", "")
-    a, b = clean(truth), clean(guess)
-    x, y = F.split(a, "[_ ]+"), F.split(b, "[_ ]+")
-    share = F.try_divide(F.size(F.array_intersect(x, y)).cast("double"), F.greatest(F.size(F.array_distinct(x)), F.size(F.array_distinct(y))).cast("double"))
-    return F.when(a == b, "exact").when(a.contains(b) | b.contains(a), "contained").when(share > 0.5, "similar").otherwise("wrong")
-
-
-def blind_recovery(truth: DataFrame, guesses: DataFrame) -> DataFrame:
-    """One row: truth rows, matched, correct, recall and precision in percent. truth and guesses: source, addr, name."""
-    j = truth.select(*KEY, F.col("name").alias("truth")).join(guesses.select(*KEY, F.col("name").alias("guess")), KEY, "left")
-    q = F.when(F.col("guess").isNotNull(), name_match(F.col("truth"), F.col("guess")))
-    g = j.agg(F.count(F.lit(1)).alias("total"), F.count("guess").alias("matched"), F.count_if(q.isin("exact", "contained")).alias("correct"))
-    return g.withColumn("recall_pct", 100.0 * F.try_divide(F.col("matched").cast("double"), F.col("total").cast("double"))).withColumn("precision_pct", 100.0 * F.try_divide(F.col("correct").cast("double"), F.col("matched").cast("double")))
+    """exact (case counts), contained (either in the other, whatever the case), similar (over half of the larger set of tokens
+    between underscores shared) or wrong; null if either is null."""
+    a, b = F.lower(truth), F.lower(guess)
+    tokens = lambda c: F.array_remove(F.array_distinct(F.split(c, "_")), "")
+    x, y = tokens(a), tokens(b)
+    share = F.try_divide(F.size(F.array_intersect(x, y)).cast("double"), F.greatest(F.size(x), F.size(y)).cast("double"))
+    return F.when(truth == guess, "exact").when(a.contains(b) | b.contains(a), "contained").when(share > 0.5, "similar").when(truth.isNotNull() & guess.isNotNull(), "wrong")
+
+
+def blind_recovery(functions: DataFrame, truth: DataFrame, agents: DataFrame) -> DataFrame:
+    """One row over *functions* (source, addr, inferred_name), whose names *truth* (source, addr, name) has, in two halves.
+
+    Fingerprints: fp_matched functions with an inferred name, fp_correct of them with the true one exactly, fp_wrong with
+    another, the rest can't be verified; fp_precision_pct. Agents' proposals (*agents*: source, addr, name), for functions
+    that no fingerprint names: proposed, and by match quality exact, contained, similar and wrong. combined: right by either,
+    where all but wrong proposals are right; combined_pct of all; unnamed: named by neither.
+    """
+    j = functions.select(*KEY, "inferred_name").join(truth.select(*KEY, F.col("name").alias("truth")), KEY, "left").join(agents.select(*KEY, F.col("name").alias("said")), KEY, "left")
+    fp, said = F.col("inferred_name").isNotNull(), F.col("inferred_name").isNull() & F.col("said").isNotNull()
+    right = F.coalesce(F.col("inferred_name") == F.col("truth"), F.lit(False))
+    quality = F.when(said, name_match(F.col("truth"), F.col("said")))
+    n = lambda c, name: F.count_if(c).alias(name)
+    either = right | F.coalesce(quality.isin("exact", "contained", "similar"), F.lit(False))
+    g = j.agg(F.count(F.lit(1)).alias("total"), n(F.col("truth").isNotNull(), "with_truth"), n(fp, "fp_matched"), n(fp & right, "fp_correct"), n(fp & F.col("truth").isNotNull() & ~right, "fp_wrong"), n(said, "proposed"), *(n(quality == q, q) for q in ("exact", "contained", "similar", "wrong")), n(either, "combined"), n(~fp & ~said, "unnamed"))
+    share = lambda a, b: F.round(100.0 * F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), 3)
+    return g.withColumn("fp_precision_pct", share("fp_correct", "fp_matched")).withColumn("combined_pct", share("combined", "total"))
 
 
 def latest(log: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -103,8 +117,8 @@ def best_name(functions: DataFrame, evidence: DataFrame, enriched: DataFrame) ->
 def version_matrix(versions: DataFrame, order: Column) -> DataFrame:
     """Steps between neighbouring versions: identical, changed, added, removed. *versions*: version, addr, hash; one row a version and addr."""
     v = versions.select("version").distinct().withColumn("next", F.lead("version").over(Window.orderBy(order)))  # one row a version
-    a = versions.join(F.broadcast(v.filter("next is not null")), "version").select(F.col("version").alias("from"), F.col("next").alias("to"), "addr", F.col("hash").alias("h0"))
-    b = versions.join(F.broadcast(v.filter("next is not null").select(F.col("next").alias("version"), F.col("version").alias("from"))), "version").select("from", F.col("version").alias("to"), "addr", F.col("hash").alias("h1"))
+    a = versions.join(sized(v.filter("next is not null")), "version").select(F.col("version").alias("from"), F.col("next").alias("to"), "addr", F.col("hash").alias("h0"))
+    b = versions.join(sized(v.filter("next is not null").select(F.col("next").alias("version"), F.col("version").alias("from"))), "version").select("from", F.col("version").alias("to"), "addr", F.col("hash").alias("h1"))
     j = a.withColumn("in0", F.lit(True)).join(b.withColumn("in1", F.lit(True)), ["from", "to", "addr"], "full_outer")
     both = F.col("in0").isNotNull() & F.col("in1").isNotNull()
     same = F.col("h0").eqNullSafe(F.col("h1"))
@@ -129,7 +143,7 @@ def priority(functions: DataFrame, degree: DataFrame, frontier: DataFrame, confi
 
 def executability(t: DataFrame) -> DataFrame:
     """Verdict on each function of a trace table: code, data or uncertain, and executable true, false or null."""
-    n, bad = F.col("instructions_executed"), F.col("error").contains("INVALID")
+    n, bad = F.col("instructions_executed"), F.col("error").contains("INSN_INVALID") | F.col("error").contains("FETCH_UNMAPPED")
     verdict = F.when(n >= 5, "code").when(F.col("has_prologue") & (n >= 3), "code").when((n <= 1) & F.coalesce(bad, F.lit(False)), "data").when(n == 0, "data").otherwise("uncertain")
     return t.withColumn("classification", verdict).withColumn("executable", F.when(verdict == "code", True).when(verdict == "data", False))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranges import owner_asof
+from .tables import sized
 
 EDGE = ["source", "caller_addr", "callee_addr", "call_site_addr", "mechanism", "confidence"]
 
@@ -26,14 +27,14 @@ def pointer_edges(xrefs: DataFrame, functions: DataFrame, discovered: DataFrame
     t = functions.select("source", F.col("addr").alias("to_addr"), F.lit(0.7).alias("confidence"))
     if discovered is not None:
         t = t.union(discovered.select("source", F.col("addr").alias("to_addr"), F.lit(0.55))).groupBy("source", "to_addr").agg(F.max("confidence").alias("confidence"))
-    x = xrefs.filter(F.col("ref_type").isin("DATA", "PARAM", "INDIRECTION", "DATA_IND", "READ")).filter("function_addr != to_addr")
+    x = xrefs.filter(F.col("ref_type").isin("DATA", "PARAM", "WRITE", "INDIRECTION", "DATA_IND")).filter("function_addr != to_addr")
     return x.join(t, ["source", "to_addr"]).select("source", F.col("function_addr").alias("caller_addr"), F.col("to_addr").alias("callee_addr"), F.col("from_addr").alias("call_site_addr"), F.lit("func_ptr_ref").alias("mechanism"), "confidence")
 
 
 def veneer_edges(xrefs: DataFrame, functions: DataFrame) -> DataFrame:
-    """Computed jumps to entries, .95."""
+    """Computed jumps to entries, .95; a function's own entry is no target."""
     t = functions.select("source", F.col("addr").alias("to_addr"))
-    return xrefs.filter("ref_type = 'COMPUTED_JUMP'").join(t, ["source", "to_addr"], "left_semi").select("source", F.col("function_addr").alias("caller_addr"), F.col("to_addr").alias("callee_addr"), F.col("from_addr").alias("call_site_addr"), F.lit("veneer_jump").alias("mechanism"), F.lit(0.95).alias("confidence"))
+    return xrefs.filter("ref_type = 'COMPUTED_JUMP' and function_addr != to_addr").join(t, ["source", "to_addr"], "left_semi").select("source", F.col("function_addr").alias("caller_addr"), F.col("to_addr").alias("callee_addr"), F.col("from_addr").alias("call_site_addr"), F.lit("veneer_jump").alias("mechanism"), F.lit(0.95).alias("confidence"))
 
 
 def constant_edges(words: DataFrame, functions: DataFrame, discovered: DataFrame | None = None) -> DataFrame:
@@ -42,16 +43,25 @@ def constant_edges(words: DataFrame, functions: DataFrame, discovered: DataFrame
     if discovered is not None:
         t = t.union(discovered.select("source", F.col("addr").alias("target"), F.lit(0.35))).groupBy("source", "target").agg(F.max("confidence").alias("confidence"))
     w = words.filter("addr % 4 = 0").select("source", F.col("addr").alias("at"), F.col("word").bitwiseAND(F.lit(~1)).alias("target"))
-    own = owner_asof(w.join(t, ["source", "target"]), functions.select("source", "addr", "size")).filter("owner is not null and owner != target")
+    own = owner_asof(w.join(t, ["source", "target"]), functions.select("source", "addr", "size")).filter("owner is not null and owner != target and at != target")
     g = own.groupBy("source", "owner", "target").agg(F.min("at").alias("at"), F.max("confidence").alias("confidence"))
     return g.select("source", F.col("owner").alias("caller_addr"), F.col("target").alias("callee_addr"), F.col("at").alias("call_site_addr"), F.lit("binary_const").alias("mechanism"), "confidence")
 
 
-def registrar_edges(calls: DataFrame, refs: DataFrame, functions: DataFrame, names: Sequence[str] = (), params: int = 4, callers: int = 2) -> DataFrame:
-    """C -> B where A refers to B as data and calls C, and C, called from *callers* sites or more, takes *params* or more parameters or has a listed name."""
+# fixed values: name parts of functions that register callbacks
+REGISTRARS = ("xtaskcreate", "xtimercreate", "xtimergenericcommand", "xcallbackregister", "set_exclusive_handler", "set_handler", "add_repeating_timer", "add_alarm", "register_callback", "create_task", "create_timer", "install_handler", "add_at_time_worker", "add_when_pending_worker")
+# end of fixed values
+
+
+def registrar_edges(calls: DataFrame, refs: DataFrame, functions: DataFrame, names: Sequence[str] = REGISTRARS, params: int = 4, callers: int = 2) -> DataFrame:
+    """C -> B where A refers to B as data and calls C, and C, called from *callers* sites or more, takes *params* or more parameters or
+    has one of *names* in its name, in either case."""
     direct = calls.filter("callee_addr is not null").select("source", F.col("caller_addr").alias("a"), F.col("callee_addr").alias("c")).distinct()
     used = calls.filter("callee_addr is not null").groupBy("source", F.col("callee_addr").alias("c")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= callers)
-    able = functions.filter((F.col("num_params") >= params) | F.col("name").isin(*names) if names else F.col("num_params") >= params).select("source", F.col("addr").alias("c"))
+    able = F.col("num_params") >= params
+    for n in names:
+        able = able | F.lower("name").contains(n.lower())
+    able = functions.filter(able).select("source", F.col("addr").alias("c"))
     registrar = able.join(used, ["source", "c"], "left_semi")
     held = refs.select("source", F.col("function_addr").alias("a"), F.col("to_addr").alias("b")).join(functions.select("source", F.col("addr").alias("b")), ["source", "b"], "left_semi").distinct()
     hit = direct.join(registrar, ["source", "c"], "left_semi").join(held, ["source", "a"]).filter("b != a and b != c")
@@ -81,7 +91,7 @@ def recover_calls(functions: DataFrame, calls: DataFrame, xrefs: DataFrame, slot
 
 
 def audit(edges: DataFrame, calls: DataFrame) -> DataFrame:
-    """By mechanism: edges, those that direct calls have too, and distance bands of site and target."""
+    """By mechanism: edges, those that direct calls have too, and distance bands of site and target; without a site it is in no band."""
     direct = calls.filter("callee_addr is not null").select("source", "caller_addr", "callee_addr").distinct().withColumn("d", F.lit(1))
     far = F.abs(F.col("callee_addr") - F.col("call_site_addr"))
     j = edges.join(direct, ["source", "caller_addr", "callee_addr"], "left")
@@ -89,8 +99,11 @@ def audit(edges: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def region(addr: Column) -> Column:
+    """peripheral, system, sram or other; a null address is in none and gives other."""
     # fixed values: address regions of the chips
-    return F.when(addr.between(0x40000000, 0x5FFFFFFF), "peripheral").when(addr.between(0xE0000000, 0xFFFFFFFF), "system").when(addr.between(0x20000000, 0x3FFFFFFF), "sram").otherwise("other")
+    peripheral, system, sram = (0x40000000, 0x5FFFFFFF), 0xE0000000, (0x20000000, 0x2FFFFFFF)
+    # end of fixed values
+    return F.when(addr.between(*peripheral), "peripheral").when(addr >= system, "system").when(addr.between(*sram), "sram").otherwise("other")
 
 
 def prefix_group(name: Column, prefixes: Sequence[tuple[str, str]], default: str = "other") -> Column:
@@ -171,15 +184,63 @@ def neighbourhood(edges: DataFrame, callers: int = 3, siblings: int = 8) -> Data
     return up.join(side.groupBy("node", "caller").agg(F.array_sort(F.collect_list("sibling")).alias("siblings")), ["node", "caller"], "left").withColumn("siblings", F.coalesce("siblings", F.array().cast("array<long>")))
 
 
-def dossier(functions: DataFrame, calls: DataFrame, xrefs: DataFrame) -> DataFrame:
-    """One nested row for each function: callers, callees and referenced addresses, in one pass over each table."""
+def dossier(functions: DataFrame, calls: DataFrame, xrefs: DataFrame, strings: DataFrame | None = None, bodies: DataFrame | None = None, peripherals: DataFrame | None = None, blocks: DataFrame | None = None, recovered: DataFrame | None = None, evidence: DataFrame | None = None, globals_: DataFrame | None = None) -> DataFrame:
+    """One nested row for each function, each section from one pass over its table: what a reader of the function is given.
+
+    callers, callees (other, other_name), references (ref_type, to_addr) always; of the tables given: strings (addr, value) that it
+    refers to, body (its text) and body_chars, peripherals (peripheral, register_name, accesses), blocks and instructions,
+    recovered (callee_addr, mechanism, confidence), evidence (confidence, method, name; surest first), shared (to_addr, access:
+    globals that it writes or reads and others read or write). Sections without rows are null.
+    """
+    key = ["source", "addr"]
     named = functions.select("source", "addr", "name")
     out = calls.filter("callee_addr is not null").select("source", F.col("caller_addr").alias("addr"), F.col("callee_addr").alias("other")).distinct()
     into = calls.filter("callee_addr is not null").select("source", F.col("callee_addr").alias("addr"), F.col("caller_addr").alias("other")).distinct()
     who = named.select("source", F.col("addr").alias("other"), F.col("name").alias("other_name"))
-    listed = lambda d, n: d.join(who, ["source", "other"], "left").groupBy("source", "addr").agg(F.array_sort(F.collect_list(F.struct("other", "other_name"))).alias(n))
-    refs = xrefs.groupBy("source", F.col("function_addr").alias("addr")).agg(F.array_sort(F.collect_set(F.struct("ref_type", "to_addr"))).alias("references"))
-    return functions.join(listed(into, "callers"), ["source", "addr"], "left").join(listed(out, "callees"), ["source", "addr"], "left").join(refs, ["source", "addr"], "left")
+    own = xrefs.select("source", F.col("function_addr").alias("addr"), "to_addr", "ref_type")
+
+    def gathered(rows: DataFrame, name: str, *columns) -> DataFrame:
+        return rows.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct(*columns))).alias(name))
+
+    sections = [gathered(d.join(who, ["source", "other"], "left"), n, "other", "other_name") for d, n in ((into, "callers"), (out, "callees"))]
+    sections.append(gathered(own, "references", "ref_type", "to_addr"))
+    if strings is not None:
+        held = own.select(*key, "to_addr").distinct().join(strings.select("source", F.col("addr").alias("to_addr"), "value"), ["source", "to_addr"])
+        sections.append(gathered(held, "strings", F.col("to_addr").alias("addr"), "value"))
+    if bodies is not None:
+        sections.append(bodies.groupBy(*key).agg(F.min("decompiled_c").alias("body")).withColumn("body_chars", F.length("body").cast("long")))
+    if peripherals is not None:
+        p = peripherals.groupBy("source", F.col("function_addr").alias("addr"), "peripheral", "register_name").agg(F.count(F.lit(1)).alias("accesses"))
+        sections.append(gathered(p, "peripherals", "peripheral", "register_name", "accesses"))
+    if blocks is not None:
+        sections.append(blocks.groupBy("source", F.col("function_addr").alias("addr")).agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.col("instruction_count").cast("long")).alias("instructions")))
+    if recovered is not None:
+        sections.append(gathered(recovered.withColumnRenamed("caller_addr", "addr"), "recovered", "callee_addr", "mechanism", "confidence"))
+    if evidence is not None:
+        e = evidence.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct((-F.col("confidence")).alias("order"), "confidence", "method", "name"))).alias("evidence"))
+        sections.append(e.select(*key, F.transform("evidence", lambda x: F.struct(x["confidence"], x["method"], x["name"])).alias("evidence")))
+    if globals_ is not None:
+        g = own.filter("ref_type in ('READ', 'WRITE')").join(globals_.select("source", "to_addr"), ["source", "to_addr"], "left_semi")
+        sections.append(gathered(g, "shared", "to_addr", F.col("ref_type").alias("access")))
+    d = functions
+    for s in sections:
+        d = d.join(s, key, "left")
+    return d
+
+
+def edge_verdicts(edges: DataFrame, functions: DataFrame, rules: Sequence[tuple[str, str, str]], default: str = "REVIEW") -> DataFrame:
+    """Edges between named functions with caller_name, callee_name, after (the site's distance from the caller's end) and verdict.
+
+    *rules*: (LIKE pattern of the caller, of the callee, verdict), the first that fits wins; then a function that refers to
+    itself by name is a false positive, and the rest is *default*.
+    """
+    f = functions.select("source", "addr", "name", "size")
+    j = edges.join(f.toDF("source", "caller_addr", "caller_name", "size"), ["source", "caller_addr"]).join(f.drop("size").toDF("source", "callee_addr", "callee_name"), ["source", "callee_addr"])
+    verdict = F.lit(None).cast("string")
+    for caller, callee, said in rules:
+        verdict = F.coalesce(verdict, F.when(F.col("caller_name").like(caller) & F.col("callee_name").like(callee), F.lit(said)))
+    verdict = F.coalesce(verdict, F.when(F.col("caller_name") == F.col("callee_name"), F.lit("FP: self-reference")), F.lit(default))
+    return j.withColumn("after", F.col("call_site_addr") - (F.col("caller_addr") + F.col("size"))).withColumn("verdict", verdict).drop("size")
 
 
 def implied_edges(functions: DataFrame, rules: DataFrame, calls: DataFrame) -> DataFrame:
@@ -187,7 +248,7 @@ def implied_edges(functions: DataFrame, rules: DataFrame, calls: DataFrame) -> D
 
     Both sides are matched with the broadcast rules first and then meet on (source, rule).
     """
-    few = F.broadcast(rules)
+    few = sized(rules)
     side = lambda c, n: functions.join(few, F.expr(f"name LIKE {c}")).select("source", "rule", "category", F.col("addr").alias(n))
     out = side("caller_like", "caller_addr").join(side("callee_like", "callee_addr").drop("category"), ["source", "rule"]).filter("caller_addr != callee_addr")
     return out.select("source", "caller_addr", "callee_addr", "category").distinct().join(calls.select("source", "caller_addr", "callee_addr"), ["source", "caller_addr", "callee_addr"], "left_anti")

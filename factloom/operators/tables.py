@@ -1,4 +1,4 @@
-"""Intermediate tables of iterative operators."""
+"""Intermediate tables of iterative operators, and sizes that broadcasts depend on."""
 
 from __future__ import annotations
 
@@ -6,14 +6,27 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Tables up to this many rows are broadcast: dimension tables of a few narrow columns.
+FEW = 50_000
 
 
 def fixed(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder of spark.checkpoint.dir (a temporary one where that is unset): cuts the lineage that a
-    loop would pile up, and survives lost executors."""
+    """Checkpoint in the shared folder of spark.checkpoint.dir: cuts the lineage that a loop would pile up, and survives lost executors.
+
+    Where that is unset, a local master gets a temporary folder; a cluster, whose machines don't share one, is an error.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        at = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "factloom-shared")
-        sc.setCheckpointDir(at)
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(at or os.path.join(tempfile.gettempdir(), "factloom-shared"))
     return df.checkpoint()
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """*df*, to be broadcast if it has FEW rows at most."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df

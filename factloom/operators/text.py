@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import sized
+
 
 def body_search(bodies: DataFrame, needles: Sequence[str], body: str = "decompiled_c") -> DataFrame:
     """Bodies that contain any of *needles*, with those they contain in the given order."""
@@ -16,16 +18,25 @@ def body_search(bodies: DataFrame, needles: Sequence[str], body: str = "decompil
 
 
 def constants(bodies: DataFrame, key: str, body: str, known: DataFrame, least: int = 0x100) -> DataFrame:
-    """Literals of each line, hexadecimal with sign or decimal, of *least* or more, that *known* (value, name) has: exact, else by 16-bit halves."""
+    """Literals of each line that *known* (value, name) has: key, line, value, name, kind.
+
+    Literals are hexadecimal, whatever their sign, or decimal of three digits or more, and *least* or more. Exact, if *known* has the value; else, above
+    0xFFFF, the lower 16 bits or the upper ones, the first of them that is *least* or more and known. One row a value, line
+    and name; lines count from 0.
+    """
+    # a key need not be unique or non-null: lines are told apart by their own text
     lines = bodies.select(key, F.posexplode(F.split(body, "\n")).alias("line", "text"))
-    hexes = F.transform(F.regexp_extract_all("text", F.lit(r"(-?0x[0-9A-Fa-f]{1,8})\b"), F.lit(1)), lambda x: F.when(x.startswith("-"), -F.conv(F.substring(x, 4, 8), 16, 10).cast("long")).otherwise(F.conv(F.substring(x, 3, 8), 16, 10).cast("long")))
-    decimals = F.transform(F.regexp_extract_all("text", F.lit(r"(?<![\w.])([0-9]{3,10})(?![\w.])"), F.lit(1)), lambda x: x.cast("long"))
-    v = lines.select(key, "line", F.explode(F.array_distinct(F.concat(hexes, decimals))).alias("literal")).withColumn("value", F.col("literal").bitwiseAND(F.lit(0xFFFFFFFF))).filter(F.col("value") >= least)
-    k = F.broadcast(known) if known.limit(50_001).count() <= 50_000 else known
+    hexes = F.transform(F.regexp_extract_all("text", F.lit(r"\b0[xX]([0-9a-fA-F]{1,15})\b"), F.lit(1)), lambda x: F.conv(x, 16, 10).cast("long"))
+    decimals = F.transform(F.regexp_extract_all("text", F.lit(r"(?<![\w])([1-9][0-9]{2,17})(?![\w])"), F.lit(1)), lambda x: x.cast("long"))
+    v = lines.select(key, "line", F.explode(F.array_distinct(F.concat(hexes, decimals))).alias("value")).filter(F.col("value") >= least)
+    k = sized(known.select("value", "name").distinct())
     exact = v.join(k, "value").select(key, "line", "value", "name", F.lit("exact").alias("kind"))
-    rest = v.join(k, "value", "left_anti")
-    halves = rest.select(key, "line", "value", F.explode(F.array_distinct(F.array(F.shiftrightunsigned("value", 16), F.col("value").bitwiseAND(F.lit(0xFFFF))))).alias("half")).filter("half != 0")
-    return exact.union(halves.join(k.withColumnRenamed("value", "half"), "half").select(key, "line", "value", "name", F.lit("half").alias("kind")))
+    rest = v.filter(F.col("value") > 0xFFFF).join(k, "value", "left_anti")
+    names = k.withColumnsRenamed({"value": "half"})
+    low, high = F.col("value").bitwiseAND(F.lit(0xFFFF)), F.shiftright("value", 16).bitwiseAND(F.lit(0xFFFF))
+    halves = rest.join(sized(names.toDF("low", "low_name")), (low == F.col("low")) & (F.col("low") >= least), "left")
+    halves = halves.join(sized(names.toDF("high", "high_name")), F.col("low").isNull() & (high == F.col("high")) & (F.col("high") >= least), "left").filter("low is not null or high is not null")
+    return exact.union(halves.select(key, "line", "value", F.coalesce("low_name", "high_name"), F.when(F.col("low").isNotNull(), "lower").otherwise("upper")))
 
 
 def annotate(bodies: DataFrame, body: str, names: dict[int, str]) -> DataFrame:
@@ -46,41 +57,49 @@ def annotate(bodies: DataFrame, body: str, names: dict[int, str]) -> DataFrame:
 
 
 def boundaries(accesses: DataFrame, keys: Sequence[str], order: str, category: str, gap: int = 100, span: int = 8, least: int = 3, infra: Sequence[str] = ()) -> DataFrame:
-    """Adds *segment*: a new one where the gap to the access before is over *gap*, or where the commonest category of the last *span*
-    accesses differs from that of the next and both have *least* or more. Categories in *infra* don't count."""
+    """Adds *segment*: a new one where the gap to the access before is over *gap*, or where the dominant category of the last *span*
+    accesses differs from that of the next.
+
+    Windows are compared where both are whole and one more access follows, and the commonest category that is not in *infra* must
+    have *least* accesses or more in the next. Dominant is the commonest category that is not in *infra*, else the commonest one; the first
+    seen of equally common ones.
+    """
     w = Window.partitionBy(*keys).orderBy(order)
-    plain = F.when(~F.col(category).isin(*infra), F.col(category)) if infra else F.col(category)
+    outside = ~F.col(category).isin(*infra) if infra else F.lit(True)
 
     def dominant(frame) -> tuple[Column, Column]:
-        seen = F.collect_list(plain).over(frame)
-        kinds = F.array_sort(F.array_distinct(seen))
-        counted = F.transform(kinds, lambda k: F.struct((-F.size(F.filter(seen, lambda s: s == k))).alias("n"), k.alias("k")))
+        """Of a window: its dominant category and, if that isn't in *infra*, how often it occurs."""
+        seen = F.collect_list(F.struct(outside.alias("outside"), F.col(category).alias("k"))).over(frame)
+        counted = F.transform(F.array_distinct(seen), lambda k, i: F.struct((~k["outside"]).alias("infra"), (-F.size(F.filter(seen, lambda s: s == k))).alias("n"), i.alias("i"), k["k"].alias("k")))
         best = F.array_min(counted)
-        return best["k"], -best["n"]
+        return best["k"], F.when(best["infra"], 0).otherwise(-best["n"])
 
-    before, n0 = dominant(w.rowsBetween(-span, -1))
-    after, n1 = dominant(w.rowsBetween(0, span - 1))
-    out = accesses.withColumns({"__gap": F.col(order) - F.lag(order).over(w), "__b": before, "__nb": n0, "__a": after, "__na": n1})
-    cut = (F.col("__gap") > gap) | ((F.col("__b") != F.col("__a")) & (F.col("__nb") >= least) & (F.col("__na") >= least))
-    out = out.withColumn("__cut", F.coalesce(cut, F.lit(False)).cast("int"))
-    return out.withColumn("segment", F.sum("__cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__gap", "__b", "__nb", "__a", "__na", "__cut")
+    before, _ = dominant(w.rowsBetween(-span, -1))
+    after, most = dominant(w.rowsBetween(0, span - 1))
+    whole = (F.row_number().over(w) > span) & (F.lead(order, span).over(w).isNotNull())
+    out = accesses.withColumns({"__gap": F.col(order) - F.lag(order).over(w), "__new": whole & (before != after) & (most >= least)})
+    out = out.withColumn("__cut", F.coalesce((F.col("__gap") > gap) | F.col("__new"), F.lit(False)).cast("int"))
+    return out.withColumn("segment", F.sum("__cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__gap", "__new", "__cut")
 
 
 def segments(accesses: DataFrame, keys: Sequence[str], order: str, category: str, gap: int = 100, span: int = 8, least: int = 3, infra: Sequence[str] = ()) -> DataFrame:
     """Phases of each function: keys, phase, start, end, hits, label.
 
     The boundaries are window functions; the two merges depend on what was merged before and run in Python over one function's
-    segments, a row each: one of under *least* hits joins its predecessor, neighbours of one label become one.
+    segments, a row each: one of under *least* hits outside *infra* joins its predecessor, neighbours of one dominant category
+    become one. hits counts all accesses. The label is the dominant category: the commonest one outside *infra*, else the
+    commonest one; the first seen of equally common ones.
     """
     cut = boundaries(accesses, keys, order, category, gap, span, least, infra)
-    plain = F.when(~F.col(category).isin(*infra), F.col(category)) if infra else F.col(category)
-    counted = cut.groupBy(*keys, "segment", plain.alias("kind")).agg(F.count("*").alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi"))
-    seg = counted.groupBy(*keys, "segment").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("kind", "n")))).alias("kinds"))
+    counted = cut.groupBy(*keys, "segment", F.col(category).alias("kind")).agg(F.count("*").alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi"))
+    seg = counted.groupBy(*keys, "segment").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.transform(F.array_sort(F.collect_list(F.struct("lo", "kind", "n"))), lambda x: F.struct(x["kind"].alias("kind"), x["n"].alias("n"))).alias("kinds"))
     fields = {f.name: f.dataType.simpleString() for f in accesses.schema}
     listed = seg.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("segment", "lo", "hi", "kinds"))).alias("segs"))
+    skip = set(infra)
 
     def label(kinds: dict) -> str:
-        return min(kinds, key=lambda k: (-kinds[k], k)) if kinds else "infra"
+        own = {k: n for k, n in kinds.items() if k not in skip} or kinds
+        return max(own, key=own.get)
 
     def merge(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -88,8 +107,8 @@ def segments(accesses: DataFrame, keys: Sequence[str], order: str, category: str
             for r in pdf.itertuples(index=False):
                 out: list[list] = []
                 for s in r[-1]:
-                    kinds = {k["kind"]: int(k["n"]) for k in s["kinds"] if k is not None}
-                    if out and sum(kinds.values()) < least:
+                    kinds = {k["kind"]: int(k["n"]) for k in s["kinds"]}
+                    if out and sum(n for k, n in kinds.items() if k not in skip) < least:
                         _join(out[-1], s["hi"], kinds)
                     else:
                         out.append([s["lo"], s["hi"], kinds])

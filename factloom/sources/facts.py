@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, MapType, StringType, StructType
 
+from ..operators.ranges import carried, ranks
+from ..operators.tables import fixed, sized
 from ..schemas import DEFAULTS, REQUIRED, TABLES
 
 
@@ -58,17 +60,30 @@ def trace_lines(lines: DataFrame) -> DataFrame:
 
 
 def carry_forward(rows: DataFrame, keys: list[str], order: list[str], value: str, into: str) -> DataFrame:
-    """*into*: the last non-null *value* up to each row, by *keys* in *order*."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn(into, F.last(value, ignorenulls=True).over(w))
+    """*into*: the last non-null *value* up to each row, by *keys* in *order*; no task holds a whole key."""
+    return carried(rows.withColumn(into, F.col(value)), keys, order, [into])
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value): the lines of text files in order of file and place; *line* grows but may leave gaps.
+
+    A file is read in splits. Splits are numbered in order of file and start, which is the order of a scan with one file a
+    partition group; the place within a split follows the reading.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    d = fixed(lines)
+    # ids grow along a split; splits of a file are put in order by their start
+    ends = d.groupBy("file", "start").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a split
+    return d.join(sized(ends.withColumn("before", before)), ["file", "start"]).select((F.col("before") + F.col("id") - F.col("first")).alias("line"), "value")
 
 
 def read_trace(spark: SparkSession, path: str, source: str, scenario: str) -> DataFrame:
-    """Register accesses of one trace file with the program counter before each, numbered in file order."""
-    lines = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    t = carry_forward(trace_lines(lines).withColumn("scenario", F.lit(scenario)), ["scenario"], ["line"], "pc", "last_pc").filter("direction is not null")
-    idx = F.row_number().over(Window.partitionBy("scenario").orderBy("line")) - 1
-    return t.select(F.lit(source).alias("source"), "scenario", idx.cast("long").alias("sequence_idx"), F.col("last_pc").alias("pc"), "address", F.col("io_value").alias("value"), "direction")
+    """Register accesses of one trace with the program counter before each, numbered in order of its lines. Files are split."""
+    t = trace_lines(numbered_lines(spark, path)).withColumn("scenario", F.lit(scenario))
+    t = fixed(carry_forward(t, ["scenario"], ["line"], "pc", "last_pc").filter("direction is not null"))
+    ranked = ranks(t, ["line"])
+    return ranked.select(F.lit(source).alias("source"), "scenario", F.col("rank").alias("sequence_idx"), F.col("last_pc").alias("pc"), "address", F.col("io_value").alias("value"), "direction")
 
 
 def read_register_map(spark: SparkSession, path: str) -> DataFrame:
@@ -108,5 +123,8 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("sep", "\t").option("header", "false").csv(path)
 
 
-def write_json_report(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def write_json_report(matches: DataFrame, path: str) -> None:
+    """One JSON object a match under *path*/matches, and one with the counts of all and by tier under *path*/summary. *matches*: tier and what else there is."""
+    matches.write.mode("overwrite").json(f"{path}/matches")
+    tiers = F.map_from_entries(F.array_sort(F.collect_list(F.struct("tier", "n")))).alias("tiers")
+    matches.groupBy("tier").agg(F.count(F.lit(1)).alias("n")).filter("tier is not null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("matches"), tiers).coalesce(1).write.mode("overwrite").json(f"{path}/summary")

@@ -56,7 +56,7 @@ def test_signature_drops_thunks_and_stubs(spark):
     f = functions(spark, [("a", 1, "f", 10, False, 0, "h"), ("a", 2, "t", 10, True, 0, "h"), ("a", 3, "s", 7, None, 0, "h")])
     b = spark.createDataFrame([("a", 1, 1, 3), ("a", 1, 2, 4)], "source string, function_addr long, block_addr long, instruction_count int")
     c = spark.createDataFrame([("a", 1, 5, 9), ("a", 1, 6, 9), ("a", 1, 7, None)], "source string, caller_addr long, call_site_addr long, callee_addr long")
-    x = spark.createDataFrame([("a", 1, 1, 2, "READ"), ("a", 1, 1, 2, "COMPUTED_JUMP")], "source string, function_addr long, from_addr long, to_addr long, ref_type string")
+    x = spark.createDataFrame([("a", 1, 1, 2, "READ"), ("a", 1, 1, 2, "COMPUTED_JUMP"), ("a", 1, 1, 2, "CONDITIONAL_JUMP")], "source string, function_addr long, from_addr long, to_addr long, ref_type string")
     assert rows(features.structural_signature(f, b, c, x), "addr", *features.STRICT) == [(1, 10, 2, 7, 3, 1, 1, 0, 1)]
 
 
@@ -64,10 +64,12 @@ def test_fingerprint_tiers(spark):
     f = functions(spark, [("a", 1, "alpha", 10, False, 0, "h1"), ("b", 1, "alpha", 10, False, 0, "h1"), ("a", 2, "FUN_2", 20, False, 0, "x"), ("b", 2, "beta", 20, False, 0, "y"), ("b", 3, "gamma", 20, False, 0, "z"), ("c", 2, "beta", 20, False, 0, "y"), ("a", 4, "FUNX1", 30, False, 0, "q"), ("b", 4, "FUNX1", 30, False, 0, "r")])
     builds = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "2")], "source string, build string")
     got = {r["source"] + str(r["addr"]): r for r in identity.fingerprint_tiers(f, ["size"], builds).collect()}
-    assert (got["a1"]["inferred_name"], got["a1"]["confidence"], got["a1"]["evidence_method"], got["a1"]["conflict"]) == ("alpha", 1.0, "hash", False)
+    assert (got["a1"]["inferred_name"], got["a1"]["confidence"], got["a1"]["evidence_method"], got["a1"]["conflict"]) == ("alpha", 1.0, "body_hash_exact+structural_8tuple_name_match", False)
     assert (got["a2"]["inferred_name"], got["a2"]["confidence"], got["a2"]["conflict"]) == ("beta", 0.85, True)
-    assert got["a4"]["evidence_method"] == "signature_name"  # the underscore is no wildcard
-    assert "c2" not in got and "b2" not in got
+    assert got["a2"]["evidence_method"] == "structural_8tuple_no_name"
+    assert got["a4"]["evidence_method"] == "structural_8tuple_name_match"  # the underscore is no wildcard
+    assert "c2" not in got  # another build
+    assert (got["b2"]["inferred_name"], got["b2"]["confidence"], got["b2"]["conflict"]) == (None, 0.85, False)  # its twin has no real name
     back = identity.write_back(f, identity.fingerprint_tiers(f, ["size"], builds))
     assert back.count() == 8 and back.filter("conflict is null").count() == 0
 
@@ -88,11 +90,41 @@ def test_size_band_edges(spark):
 
 
 def test_weighted_score(spark):
-    cols = "r_size long, t_size long, r_blocks long, t_blocks long, r_calls long, t_calls long, r_reads long, t_reads long, r_writes long, t_writes long, r_registers array<string>, t_registers array<string>, r_strings array<string>, t_strings array<string>, r_body_hash string, t_body_hash string"
-    d = spark.createDataFrame([(10, 10, 3, 3, 2, 2, 1, 1, 0, 0, ["a"], ["a"], ["s"], ["s"], "h", "h"), (10, 20, 1, 4, 0, 3, 0, 1, 0, 1, [], [], None, [], None, None)], cols)
-    one, two = similarity.weighted_score(d).collect()
+    cols = ["size", "blocks", "out_calls", "distinct_callees", "reads", "writes", "registers", "strings", "body_hash"]
+
+    def pairs(*rs):
+        kinds = ["long"] * 6 + ["array<string>"] * 2 + ["string"]
+        return spark.createDataFrame([(*a, *b) for a, b in rs], ", ".join(f"{s}_{c} {k}" for s in "rt" for c, k in zip(cols, kinds, strict=True)))
+
+    base = (10, 3, 4, 2, 5, 5, ["a"], ["s"], "h")
+    d = pairs((base, base), (base, (20, 4, 5, 2, 7, 3, [], None, None)), ((10, 3, 4, 2, 5, 5, [], [], ""), (0, 6, 4, 3, 5, 8, ["a"], [], "")), ((10, 3, 4, 2, 5, 5, [], [], ""), (10, 7, 4, 4, 5, 5, [], [], "")))
+    one, two, three, four = similarity.weighted_score(d).collect()
     assert one["score"] == pytest.approx(1.0) and one["active"] == 7 and one["tier"] == "high"
-    assert two["score"] == pytest.approx(0.15 * math.exp(-0.75) + 0.15 * 0.3 + 0.1 * 0.2) and two["active"] == 3 and two["tier"] == "low"
+    # size half, one block apart, callees alike but not calls, both accesses two apart; .47 and .5 are not active
+    assert two["score"] == pytest.approx(0.15 * math.exp(-0.75) + 0.15 * 0.7 + 0.1 * 0.8 + 0.1 * 0.5) and two["active"] == 2 and two["tier"] == "medium"
+    # size 0, three blocks apart, one callee apart, writes three apart, empty hashes
+    assert three["score"] == pytest.approx(0.15 * 0.3 + 0.1 * 0.5) and three["active"] == 0 and three["tier"] == "low"
+    assert four["score"] == pytest.approx(0.15 + 0.1 * 0.2 + 0.1) and four["active"] == 2
+
+
+def test_composite_and_vectors(spark):
+    v = spark.createDataFrame([(10, 1, 2, 0, 0, 3, 0, 0, '{"COPY": 3, "X": 9}', 5)], "size int, blocks int, instructions int, out_calls int, distinct_callees int, reads int, writes int, jumps int, h string, n int")
+    r = v.select(features.shape_vector().alias("s"), features.frequency_vector(F.col("h"), ["COPY", "LOAD"]).alias("o")).first()
+    assert r["s"] == pytest.approx([0.1, 0.2, 0, 0, 0.3, 0, 0]) and r["o"] == [3.0, 0.0]
+    d = spark.createDataFrame([([1.0, 0.0], [2.0, 0.0], [3.0, 4.0], [4.0, 3.0], ["f"], ["f", "g"], [], []), ([0.0, 0.0], [1.0, 0.0], None, [1.0, 1.0], None, [], ["s"], ["s"])], "a_shape array<double>, b_shape array<double>, a_ops array<double>, b_ops array<double>, a_callees array<string>, b_callees array<string>, a_strings array<string>, b_strings array<string>")
+    one, two = similarity.composite(d).collect()
+    assert one["score"] == pytest.approx(0.25 * (1 + 0.96 + 0.5 + 0)) and two["score"] == pytest.approx(0.25) and two["structural"] is None
+
+
+@pytest.mark.parametrize(("num", "den"), [(1, 4), (1, 2), (4, 5), (1, 1)])
+def test_similar_sets_against_brute_force(spark, num, den):
+    import random
+
+    r = random.Random(num)
+    sets = {k: {int(30 * r.random() ** 2) for _ in range(r.choice([1, 1, 2, 3, 5, 9, 12]))} for k in range(120)}
+    d = spark.createDataFrame([(k, v) for k, s in sets.items() for v in s] + [(5, None), (None, 3)], "k int, v int")
+    want = {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) * den >= len(sets[a] | sets[b]) * num}
+    assert {(x["a"], x["b"]): x["shared"] for x in similarity.similar_sets(d, "k", "v", num, den).collect()} == want
 
 
 def test_precision_curve_and_correlation(spark):
@@ -108,7 +140,7 @@ def test_range_join_both_ways(spark, monkeypatch):
     want = [(-1, None), (0, None), (10, "a"), (19, "a"), (20, None), (5000, "b")]
     get = lambda: sorted((x["addr"], x["name"]) for x in ranges.range_join(p, r, how="left").collect())
     assert get() == want
-    monkeypatch.setattr(ranges, "FEW", 0)
+    monkeypatch.setattr(ranges, "DOZENS", 0)
     assert get() == want
 
 
@@ -119,32 +151,135 @@ def test_owner_tolerance(spark):
 
 
 def test_register_resolution_alias(spark):
-    a = spark.createDataFrame([(0x100,), (0x108,), (0x2100,), (0x9999,)], "address long")
+    a = spark.createDataFrame([(0x100,), (0x108,), (0x2100,), (0x3108,), (0x9999,), (None,)], "address long")
     regs = spark.createDataFrame([(0x100, "P", "CTRL")], "address long, peripheral string, register_name string")
     blocks = spark.createDataFrame([(0x100, 0x200, "P")], "lo long, hi long, peripheral string")
-    assert rows(ranges.resolve_registers(a, regs, blocks), "address", "peripheral", "register_name") == [(0x100, "P", "CTRL"), (0x108, "P", ""), (0x2100, "P", "CTRL_SET"), (0x9999, "UNKNOWN_0x00009999", "")]
+    got = ranges.resolve_registers(a, regs, blocks)
+    assert sorted(((x["address"], x["alias"]) for x in got.filter("alias is not null").collect())) == [(0x2100, "SET"), (0x3108, "CLR")]
+    assert sorted(((x["address"], x["peripheral"], x["register_name"]) for x in got.collect()), key=lambda x: (x[0] is None, x)) == [(0x100, "P", "CTRL"), (0x108, "P", ""), (0x2100, "P", "CTRL"), (0x3108, "P", ""), (0x9999, "UNKNOWN_0x00009999", ""), (None, None, "")]
 
 
 def test_recovery(spark):
     f = functions(spark, [("a", 0x100, "reg", 16, False, 4, ""), ("a", 0x200, "main", 64, False, 0, ""), ("a", 0x300, "cb", 16, False, 3, "")])
     calls = spark.createDataFrame([("a", 0x200, 0x204, 0x100), ("a", 0x200, 0x208, 0x100), ("a", 0x200, 0x20C, None)], "source string, caller_addr long, call_site_addr long, callee_addr long")
-    x = spark.createDataFrame([("a", 0x200, 0x210, 0x300, "DATA"), ("a", 0x200, 0x214, 0x200, "DATA"), ("a", 0x300, 0x304, 0x100, "COMPUTED_JUMP")], "source string, function_addr long, from_addr long, to_addr long, ref_type string")
+    x = spark.createDataFrame([("a", 0x200, 0x210, 0x300, "DATA"), ("a", 0x200, 0x214, 0x200, "DATA"), ("a", 0x300, 0x304, 0x100, "COMPUTED_JUMP"), ("a", 0x300, 0x308, 0x300, "COMPUTED_JUMP"), ("a", 0x200, 0x218, 0x100, "WRITE"), ("a", 0x100, 0x10C, 0x300, "READ")], "source string, function_addr long, from_addr long, to_addr long, ref_type string")
     slots = spark.createDataFrame([("a", 1, 0x101), ("a", 2, 0x205), ("a", 3, 0x901), ("a", 0, 0x777)], "source string, slot int, word long")
     words = spark.createDataFrame([("a", 0x220, 0x301), ("a", 0x224, 0x300), ("a", 0x222, 0x300)], "source string, addr long, word long")
     got = rows(recovery.recover_calls(f, calls, x, slots, words), "mechanism", "callee_addr", "confidence")
-    assert got == [("binary_const", 0x300, 0.5), ("func_ptr_ref", 0x300, 0.7), ("registrar_dispatch", 0x300, 0.6), ("vector_table", 0x100, 1.0), ("vector_table", 0x204, 0.9), ("vector_table", 0x900, 0.85), ("veneer_jump", 0x100, 0.95)]
-
-
-def test_segments(spark):
-    acc = [("f", o, c) for o, c in [(0, "uart"), (4, "uart"), (8, "uart"), (12, "uart"), (200, "spi"), (204, "spi"), (208, "spi"), (400, "x")]]
-    d = spark.createDataFrame(acc, "fn string, at long, cat string")
-    assert rows(text.segments(d, ["fn"], "at", "cat"), "phase", "start", "end", "hits", "label") == [(0, 0, 12, 4, "uart"), (1, 200, 400, 4, "spi")]
+    assert got == [("binary_const", 0x300, 0.5), ("func_ptr_ref", 0x100, 0.7), ("func_ptr_ref", 0x300, 0.7), ("registrar_dispatch", 0x300, 0.6), ("vector_table", 0x100, 1.0), ("vector_table", 0x204, 0.9), ("vector_table", 0x900, 0.85), ("veneer_jump", 0x100, 0.95)]
+
+
+def phases(acc, gap=100, span=8, infra=()):
+    """Boundaries and both merges over one function's (place, category) in order, in plain Python."""
+    from collections import Counter
+
+    def top(xs):
+        own = Counter(c for _, c in xs if c not in infra) or Counter(c for _, c in xs)
+        return own.most_common(1)[0][0]
+
+    n, cuts = len(acc), {0}
+    cuts |= {i for i in range(1, n) if acc[i][0] - acc[i - 1][0] > gap}
+    for i in range(span, n - span):
+        own = Counter(c for _, c in acc[i : i + span] if c not in infra)
+        if top(acc[i - span : i]) != top(acc[i : i + span]) and own and own.most_common(1)[0][1] >= 3:
+            cuts.add(i)
+    at = sorted(cuts)
+    parts = [acc[a:b] for a, b in zip(at, [*at[1:], n], strict=True)]
+    for join in (lambda p, x: sum(c not in infra for _, c in x) < 3, lambda p, x: top(p) == top(x)):
+        out = []
+        for x in parts:
+            if out and join(out[-1], x):
+                out[-1] = out[-1] + x
+            else:
+                out.append(x)
+        parts = out
+    return at, [(i, p[0][0], p[-1][0], len(p), top(p)) for i, p in enumerate(parts)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_segments_against_plain_python(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    acc, rows_ = {}, []
+    for f in ("f", "g", "h"):
+        at, mine = 0, []
+        for _ in range(r.choice([1, 5, 60, 90])):
+            kind = r.choice(["uart", "spi", "RCC"])
+            for _ in range(r.choice([1, 2, 9, 12])):
+                at += r.choice([4, 4, 4, 150])
+                mine.append((at, kind if r.random() < 0.8 else r.choice(["uart", "gpio", "RCC"])))
+        acc[f] = mine
+        rows_ += [(f, *x) for x in mine]
+    d = spark.createDataFrame(rows_, "fn string, place long, cat string")
+    cut = text.boundaries(d, ["fn"], "place", "cat", infra=["RCC"])
+    got = text.segments(d, ["fn"], "place", "cat", infra=["RCC"]).collect()
+    for f, mine in acc.items():
+        at, want = phases(mine, infra={"RCC"})
+        assert cut.filter(F.col("fn") == f).agg(F.max("segment")).first()[0] == len(at) - 1
+        assert sorted(tuple(x[1:]) for x in got if x["fn"] == f) == want
+    assert text.segments(d.limit(0), ["fn"], "place", "cat").count() == 0
+
+
+def test_label_propagation_against_plain_python(spark):
+    import random
+    from collections import Counter
+
+    r = random.Random(3)
+    edges = {(r.randrange(60), r.randrange(60)) for _ in range(140)}
+    near = {(a, b) for a, b in edges} | {(b, a) for a, b in edges}
+    held = {i: ("x" if i % 2 else "y", 0) for i in range(0, 60, 7)}
+    want = dict(held)
+    for i in range(1, 11):
+        fresh = {}
+        for n in {a for a, _ in near} - want.keys():
+            votes = [(-c, lab) for lab, c in Counter(want[b][0] for a, b in near if a == n and b in want).items() if c >= 2]
+            if votes:
+                fresh[n] = (min(votes)[1], i)
+        before = len(want)
+        want |= fresh
+        if not fresh or len(fresh) < 0.05 * before:
+            break
+    e = spark.createDataFrame([*edges, (None, 1)], "src int, dst int")
+    k = spark.createDataFrame([(n, lab) for n, (lab, _) in held.items()], "node int, label string")
+    assert {x["node"]: (x["label"], x["round"]) for x in graph.propagate_labels(e, k).collect()} == want
+
+
+def test_carried_and_ranks_over_many_parts(spark):
+    import random
+
+    r = random.Random(1)
+    data = [(r.choice(["hot", "hot", "hot", "b", None]), i, r.choice([None, None, None, i])) for i in range(3000)]
+    d = spark.createDataFrame(data, "k string, i long, v long").repartition(7)
+    want, last = {}, {}
+    for k, i, v in data:
+        last[k] = v if v is not None else last.get(k)
+        want[i] = last[k]
+    assert {x["i"]: x["v"] for x in ranges.carried(d, ["k"], ["i"], ["v"]).collect()} == want
+    assert {x["i"]: x["rank"] for x in ranges.ranks(d, ["i"]).collect()} == {i: i for i in range(3000)}
+    assert ranges.carried(d.limit(0), ["k"], ["i"], ["v"]).count() == 0 and ranges.ranks(d.limit(0), ["i"]).count() == 0
+
+
+def test_regions_and_constant_sets(spark):
+    a = spark.createDataFrame([(0x20000000,), (0x2FFFFFFF,), (0x30000000,), (0x40000000,), (0x5FFFFFFF,), (0x60000000,), (0xE0000000,), (0x1_0000_0000,), (None,)], "a long")
+    assert [x[0] for x in a.select(recovery.region(F.col("a"))).collect()] == ["sram", "sram", "other", "peripheral", "peripheral", "other", "system", "system", "other"]
+    f = functions(spark, [("a", 0x100, "f", 16, False, 0, ""), ("b", 0x200, "g", 16, False, 0, ""), ("b", 0x300, "t", 8, False, 0, "")])
+    x = spark.createDataFrame([(s, fn, fn + 4 * i, fn + 8 * i if rel else 0x40000000 + i, "READ") for s, fn, rel in [("a", 0x100, True), ("b", 0x200, True), ("b", 0x300, True), ("a", 0x100, False)] for i in range(1, 4)], "source string, function_addr long, from_addr long, to_addr long, ref_type string")
+    assert features.constant_sets(x, f, "peripheral").count() == 1 and features.constant_sets(x, f).count() == 2
+    assert features.equal_sets(features.constant_sets(x.filter("to_addr < 4096"), f, "relative"), "members").count() == 1
+
+
+def test_executability_and_name_match(spark):
+    t = spark.createDataFrame([(5, False, None), (3, True, None), (1, False, "UC_ERR_FETCH_UNMAPPED"), (1, False, "UC_ERR_INSN_INVALID"), (1, False, None), (0, False, None), (2, False, "UC_ERR_FETCH_UNMAPPED")], "instructions_executed int, has_prologue boolean, error string")
+    assert [x["classification"] for x in identity.executability(t).collect()] == ["code", "code", "data", "data", "uncertain", "data", "uncertain"]
+    n = spark.createDataFrame([("main", "main"), ("main", "Main"), ("a_b_c", "c_b_x_a"), ("a_b", "a_c"), ("__x_y", "y_x"), ("x", None)], "t string, g string")
+    assert [x[0] for x in n.select(identity.name_match(F.col("t"), F.col("g"))).collect()] == ["exact", "contained", "similar", "wrong", "similar", None]
 
 
 def test_text_operators(spark):
-    d = spark.createDataFrame([(1, "x = 0x20000000;\ny = -0x100; z = 500; w = 12;"), (2, "DAT_40000000 + 0x40000000 /* P */"), (3, None)], "id long, body string")
+    d = spark.createDataFrame([(1, "x = 0x20000000;\ny = -0x100; z = 500; w = 12;"), (2, "DAT_40000000 + 0x40000000 /* P */"), (3, None), (4, "0xABCD01F4 0x01F40001 0x1F40 0x00AB01FF")], "id long, body string")
     known = spark.createDataFrame([(0x20000000, "SRAM"), (500, "baud")], "value long, name string")
-    assert rows(text.constants(d, "id", "body", known), "id", "line", "name", "kind") == [(1, 0, "SRAM", "exact"), (1, 1, "baud", "exact")]
+    assert rows(text.constants(d, "id", "body", known), "id", "line", "name", "kind") == [(1, 0, "SRAM", "exact"), (1, 1, "baud", "exact"), (4, 0, "baud", "lower"), (4, 0, "baud", "upper")]
     once = text.annotate(d, "body", {0x40000000: "P"})
     assert once.filter("id = 2").first()["body"] == "DAT_40000000 /* P */ + 0x40000000 /* P */"
     assert text.annotate(once, "body", {0x40000000: "P"}).filter("id = 2").first()["body"] == once.filter("id = 2").first()["body"]
@@ -204,6 +339,15 @@ def test_warehouse(spark, tmp_path):
     assert [r.error is None for r in out] == [True, False, True]
     assert split_statements("a 'x;y' ; ; b") == ["a 'x;y'", "b"]
     assert "0x00011170" in render(w.table("functions", "t1"))
+    w.save(spark.createDataFrame([("t1", 1, 2), ("t2", 1, 3)], "source string, caller_addr long, callee_addr long"), "calls")
+    assert set(w.tables()) == {"functions", "calls"} and w.table("calls", "t1").count() == 1
+    w.save(spark.createDataFrame([("7", 9, "new", 5)], "source string, addr long, name string, size long"), "functions")
+    assert rows(w.table("functions"), "source") == [("7",), ("t1",), ("t2",)]
+    info = w.function_info("t1", 1).first()
+    assert info["callees"] == [2] and info["callers"] == [] and info["strings"] == []
+    assert w.topics("Who calls the largest functions?") == ["calls", "size"] and w.topics("hm") == ["overview"]
+    assert set(w.analyze("t1", "calls and strings")) == {"calls"} and "## size" in w.report("t1")
+    assert Warehouse(spark, str(tmp_path / "empty")).list_targets().count() == 0
 
 
 def test_streamed_trace_equals_batch(spark, tmp_path):
