@@ -67,76 +67,89 @@ def matches(at: int, run: int, partner_at: int, partner_run: int, k: int, window
         yield from ((x + i, partner_at + i) for i in (*range(0, n, k), n))
 
 
-class Maxima:
-    """Maxima over ranges of places, with the item that has them; items leave in the order in which they came."""
+class FenwickMaxima:
+    """A Fenwick tree of maxima over places, with the item that has each; items leave in the order in which they came.
+
+    Node j holds the largest of places j - lowbit(j) < place <= j. A place that falls is mended from the child nodes of each node
+    above it; a range is walked down from its end by nodes that lie within it. Both take at most log(n)**2 steps.
+    """
+
+    NONE = (-np.inf, -1)
 
     def __init__(self, n: int):
         self.n = n
-        self.best: list = [(-np.inf, -1)] * (2 * n)
-        self.at: list[deque] = [deque() for _ in range(n)]
+        self.node: list = [self.NONE] * (n + 1)
+        self.at: list[deque] = [deque() for _ in range(n + 1)]
+
+    def _own(self, i: int) -> tuple[float, int]:
+        return self.at[i][0] if self.at[i] else self.NONE
 
-    def _set(self, i: int) -> None:
-        q = self.at[i]
-        i += self.n
-        self.best[i] = q[0] if q else (-np.inf, -1)
-        while i > 1:
-            i //= 2
-            self.best[i] = max(self.best[2 * i], self.best[2 * i + 1])
+    def _mend(self, i: int) -> None:
+        while i <= self.n:
+            best, child = self._own(i), 1
+            while child < i & -i:
+                best = max(best, self.node[i - child])
+                child *= 2
+            self.node[i] = best
+            i += i & -i
 
     def put(self, i: int, value: float, item: int) -> None:
-        q = self.at[i]
+        q = self.at[i + 1]
         while q and q[-1][0] <= value:  # they leave earlier and never count again
             q.pop()
         q.append((value, item))
         if len(q) == 1:
-            self._set(i)
+            self._mend(i + 1)
 
     def drop(self, i: int, item: int) -> None:
-        q = self.at[i]
+        q = self.at[i + 1]
         if q and q[0][1] == item:
             q.popleft()
-            self._set(i)
+            self._mend(i + 1)
 
     def within(self, i: int, j: int) -> tuple[float, int]:
         """The largest over places i <= place < j."""
-        out = (-np.inf, -1)
-        i, j = i + self.n, j + self.n
-        while i < j:
-            if i & 1:
-                out = max(out, self.best[i])
-                i += 1
-            if j & 1:
+        out = self.NONE
+        while j > i:
+            if j - (j & -j) >= i:
+                out = max(out, self.node[j])
+                j -= j & -j
+            else:
+                out = max(out, self._own(j))
                 j -= 1
-                out = max(out, self.best[j])
-            i, j = i // 2, j // 2
         return out
 
 
-def chains(anchors: list[tuple[int, int]], k: int, gap_cost: float = 0.05, reach: int = 60) -> list[tuple[int, int, int, int]]:
-    """Collinear chains of matches (x, y) of k words: (x from, x to, y from, y to), ends exclusive, that share no match.
-
-    A chain's score is k for each match less *gap_cost* for each word skipped on either side; the best predecessor of a match has
-    the largest score + cost * (x + y) among those that end at most *reach* words before it on both sides; farther ones are no
-    predecessors, so that a chain is cut where it skips more. Matches in a row on one diagonal are joined to one first.
-    """
-    runs: list[list[int]] = []  # x, y, x of the last match, matches
+def diagonal_runs(anchors: list[tuple[int, int]], k: int) -> list[tuple[int, int, int]]:
+    """Matches in a row on one diagonal, joined where they touch: x and y of the first, x of the last."""
+    runs: list[list[int]] = []
     open_: dict[int, list[int]] = {}
     for x, y in sorted(anchors):
         r = open_.get(x - y)
         if r is not None and x - r[2] <= k:
-            r[2], r[3] = x, r[3] + 1
+            r[2] = x
         else:
-            open_[x - y] = r = [x, y, x, 1]
+            open_[x - y] = r = [x, y, x]
             runs.append(r)
-    ends = [(r[2] + k, r[1] + r[2] - r[0] + k) for r in runs]
+    return [(x, y, last) for x, y, last in runs]
+
+
+def linked(runs: list[tuple[int, int, int]], k: int, gap_cost: float, reach: int) -> tuple[list[float], list[int]]:
+    """The best score of a chain that ends in each run, and the run before it there (-1: none).
+
+    A run's own score is its words. Its best predecessor has the largest score less *gap_cost* for each word skipped on either
+    side, among those that end at most *reach* words before it on both sides; farther ones are none, so that a chain is cut
+    where it skips more.
+    """
+    ends = [(last + k, y + last - x + k) for x, y, last in runs]
     ys = sorted({y for _, y in ends})
-    tree = Maxima(len(ys))
+    tree = FenwickMaxima(len(ys))
     score, before = [0.0] * len(runs), [-1] * len(runs)
-    order = sorted(range(len(runs)), key=lambda i: (runs[i][0], runs[i][1]))
+    order = sorted(range(len(runs)), key=lambda i: runs[i])
     waiting = sorted(range(len(runs)), key=lambda i: ends[i][0])
     w = gone = 0
     for i in order:
-        x, y, x_last, n = runs[i]
+        x, y, x_last = runs[i]
         while w < len(waiting) and ends[waiting[w]][0] <= x:  # those that end before this one starts
             j = waiting[w]
             tree.put(bisect_left(ys, ends[j][1]), score[j] + gap_cost * sum(ends[j]), j)
@@ -148,6 +161,13 @@ def chains(anchors: list[tuple[int, int]], k: int, gap_cost: float = 0.05, reach
         value, j = tree.within(bisect_left(ys, y - reach), bisect_left(ys, y + 1))
         gain = value - gap_cost * (x + y)
         score[i], before[i] = (own + gain, j) if gain > 0 else (own, -1)
+    return score, before
+
+
+def chains(anchors: list[tuple[int, int]], k: int, gap_cost: float = 0.05, reach: int = 60) -> list[tuple[int, int, int, int]]:
+    """Collinear chains of matches (x, y) of k words: (x from, x to, y from, y to), ends exclusive, that share no match; best first."""
+    runs = diagonal_runs(anchors, k)
+    score, before = linked(runs, k, gap_cost, reach)
     out, used = [], [False] * len(runs)
     for i in sorted(range(len(runs)), key=lambda i: -score[i]):
         if used[i]:
@@ -163,25 +183,31 @@ def chains(anchors: list[tuple[int, int]], k: int, gap_cost: float = 0.05, reach
 
 
 def align(a: np.ndarray, b: np.ndarray, band: int = 64) -> float:
-    """Share of equal words in a banded global alignment, by the longer side."""
+    """Share of equal words in a global alignment within a band, by the longer side.
+
+    The band is *band* words wide on each side of the diagonal, and as much more as the lengths differ; only its cells are held
+    and computed.
+    """
     n, m = len(a), len(b)
     if n == m:
         same = int((a == b).sum())
         if same >= 0.95 * n:
             return same / max(n, 1)
     band = max(band, abs(n - m) + 16)
-    prev = np.zeros(m + 1, np.int32)
+    lo, prev = 0, np.zeros(min(m, band) + 1, np.int32)  # columns lo .. lo + len(prev) - 1: equal words of the first so many of b
     for i in range(n):
-        lo, hi = max(0, i * m // max(n, 1) - band), min(m, i * m // max(n, 1) + band)
-        row = prev.copy()
-        row[lo + 1 : hi + 1] = np.maximum(prev[lo + 1 : hi + 1], prev[lo:hi] + (b[lo:hi] == a[i]))
-        np.maximum.accumulate(row, out=row)
-        prev = row
-    return int(prev[m]) / max(n, m, 1)
+        new_lo, hi = max(0, i * m // n - band), min(m, i * m // n + band)
+        up = prev[new_lo - lo :]
+        up = np.concatenate([up, np.full(max(0, hi + 1 - new_lo - len(up)), prev[-1], np.int32)])[: hi + 1 - new_lo]
+        left = np.concatenate([[prev[new_lo - 1 - lo] if new_lo > lo else 0], up[:-1]])
+        row = np.maximum(up, left + (np.concatenate([[False], b[:hi] == a[i]])[new_lo:] if new_lo == 0 else b[new_lo - 1 : hi] == a[i]))
+        lo, prev = new_lo, np.maximum.accumulate(row).astype(np.int32)
+    return int(prev[-1]) / max(n, m, 1)
 
 
 def substring_dedup(docs: DataFrame, k: int = 8, window: int = 12, least: int = 50, identity: float = 0.8, reach: int = 60) -> DataFrame:
-    """Passages of *least* words or more that a document shares with an earlier one, exactly or nearly.
+    """Passages of *least* words or more that a document shares with one of smaller doc_id, exactly or nearly; repeats within one
+    document are none.
 
     One row each: doc_id, start, end, partner_id, partner_start, partner_end (words, ends exclusive), n_words, identity.
     Seeds are minimizers of k-word hashes; where a period repeats one, its run is one seed with a length. All places of a seed are linked with its owner, the first by (doc_id, place), and
@@ -189,10 +215,13 @@ def substring_dedup(docs: DataFrame, k: int = 8, window: int = 12, least: int =
     chains whose owners differ are one passage, whose partner is the owner of the longest; chains are then aligned word by word.
     Partners' words that a passage repeats count once towards *least*.
 
-    Null or short text, null doc_id: no rows. A repeated doc_id is one document. Texts equal as a whole are passages too. Words
+    Null or short text, null doc_id: no rows. Rows of one doc_id are one document, whose text is the last of theirs in order of
+    code points. Texts equal as a whole are passages too. Words
     are `[^\\x20\\x09-\\x0D]+`. Empty input: no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
+    if _repeats(docs):
+        docs = stored(docs.groupBy("doc_id").agg(F.max("text").alias("text")), "texts")
 
     def seed(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
@@ -256,8 +285,7 @@ def substring_dedup(docs: DataFrame, k: int = 8, window: int = 12, least: int =
                 rows.append((chain_, side, doc, group, partner, a, z, lo, w[lo:hi].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["chain", "side", "doc_id", "group", "partner_id", "a", "b", "lo", "words"])
 
-    texts = docs.dropDuplicates(["doc_id"]) if _repeats(docs) else docs
-    got = texts.withColumnRenamed("doc_id", "of").join(ask, "of").select("text", "chain", "side", "a", "b", "doc_id", "group", "partner_id").mapInArrow(cut, "chain long, side int, doc_id long, group long, partner_id long, a long, b long, lo long, words binary")
+    got = docs.withColumnRenamed("doc_id", "of").join(ask, "of").select("text", "chain", "side", "a", "b", "doc_id", "group", "partner_id").mapInArrow(cut, "chain long, side int, doc_id long, group long, partner_id long, a long, b long, lo long, words binary")
     got = stored(got, "spans")
     x, y = got.filter("side = 0").alias("x"), got.filter("side = 1").alias("y")
     pairs = x.join(y, F.expr("x.chain = y.chain")).select("x.doc_id", "x.group", "x.partner_id", F.col("x.a").alias("xa"), F.col("x.b").alias("xb"), F.col("x.lo").alias("xl"), F.col("x.words").alias("xw"), F.col("y.a").alias("ya"), F.col("y.b").alias("yb"), F.col("y.lo").alias("yl"), F.col("y.words").alias("yw"))
