@@ -23,9 +23,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one where that is unset, as in local tests."""
+    """The folder that all executors share (spark.checkpoint.dir). Where that is unset, a local master gets a temporary one; a cluster is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = os.path.join(tempfile.gettempdir(), "factloom-shared")
         spark.conf.set("spark.checkpoint.dir", f"file://{at}")
         at = f"file://{at}"
@@ -122,5 +124,22 @@ def n_words(col) -> "F.Column":
     return F.coalesce(F.regexp_count(col, F.lit(r"[^ \t-\r]+")), F.lit(0)).cast("long")
 
 
+def picked_texts(docs: DataFrame, pick: DataFrame, volume: int) -> list[tuple[str, int]]:
+    """(text, y) of the documents in *pick* (doc_id, y; few), whole texts only, of *volume* bytes together at most.
+
+    In an order by hash of doc_id each text that still fits is taken, so the driver's memory has a bound and no length is
+    one by itself. Of rows that repeat an id the shortest text counts. Null texts are left out.
+    """
+    own = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(pick), "doc_id")
+    own = stored(own.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.length("text"), "text")).alias("text")), "labelled")
+    ids, used = [], 0
+    for r in own.select("doc_id", F.octet_length("text").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if used + r["size"] <= volume:
+            ids.append((r["doc_id"],))
+            used += r["size"]
+    few = own.join(F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long")), "doc_id").select("doc_id", "text", "y")
+    return [(r["text"], r["y"]) for r in sorted(few.collect(), key=lambda r: r["doc_id"])]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

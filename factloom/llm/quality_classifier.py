@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, code_points, free_name, texts_of, word_spans
+from .common import batches, code_points, free_name, picked_texts, texts_of, word_spans
 from .quality_rules import _word_ids
 from .toxicity import _chunked
 
@@ -120,16 +120,14 @@ class CumulativeLink:
         return self
 
 
-def graded(docs: DataFrame, ratings: DataFrame, rows: int, longest: int = 200_000) -> list[tuple[str, int]]:
-    """At most *rows* (text, grade) of each grade of *ratings* (doc_id, grade), by a hash of doc_id."""
+def graded(docs: DataFrame, ratings: DataFrame, rows: int, volume: int) -> list[tuple[str, int]]:
+    """At most *rows* (text, grade) of each grade of *ratings* (doc_id, grade), by a hash of doc_id, of *volume* bytes together at most."""
     r = ratings.filter("doc_id is not null and grade is not null").dropDuplicates(["doc_id"])
     grades = sorted(x["grade"] for x in r.select("grade").distinct().collect())
     picked: list = []
     for g in grades:
         picked += [tuple(x) for x in r.filter(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", "grade").collect()]
-    pick = docs.sparkSession.createDataFrame(picked, "doc_id long, grade int")
-    got = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").filter(F.length("text") <= longest).select("doc_id", "text", "grade").collect()
-    return [(x["text"], x["grade"]) for x in sorted(got, key=lambda x: (x["doc_id"], x["text"]))]
+    return picked_texts(docs, docs.sparkSession.createDataFrame(picked, "doc_id long, y int"), volume)
 
 
 def ratings(labels: DataFrame) -> DataFrame:
@@ -137,9 +135,9 @@ def ratings(labels: DataFrame) -> DataFrame:
     return labels.filter("quality is not null").select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2).cast("int").alias("grade"))
 
 
-def train(docs: DataFrame, rated: DataFrame, rows: int = 500) -> CumulativeLink:
-    """Learn from at most *rows* documents of each grade."""
-    sample = graded(docs, rated, rows)
+def train(docs: DataFrame, rated: DataFrame, rows: int = 500, volume: int = 32 << 20) -> CumulativeLink:
+    """Learn from at most *rows* documents of each grade, of *volume* bytes together."""
+    sample = graded(docs, rated, rows, volume)
     model = CumulativeLink(max([2, *(g + 1 for _, g in sample)]))
     return model.fit([t for t, _ in sample], [g for _, g in sample])
 

@@ -208,9 +208,9 @@ class LineCRF:
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 400) -> LineCRF:
-    """At most *rows* documents of each quality label; each line takes the label of its document."""
-    sample = labelled(docs, labels, "quality", rows)
+def train(docs: DataFrame, labels: DataFrame, rows: int = 400, volume: int = 16 << 20) -> LineCRF:
+    """At most *rows* documents of each quality label, of *volume* bytes together; each line takes the label of its document."""
+    sample = labelled(docs, labels, "quality", rows, volume)
     lines = Lines([t for t, _ in sample])
     y = np.array([y for _, y in sample], np.int64)
     return LineCRF().fit(lines.x, lines.doc, y[lines.doc] if len(y) else np.zeros(0, np.int64))

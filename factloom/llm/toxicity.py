@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_CHARS, batches, code_points, texts_of, word_spans
+from .common import CHUNK_CHARS, batches, code_points, picked_texts, texts_of, word_spans
 
 _MIX = np.random.default_rng(20240607).integers(1, 2**63, 8, dtype=np.uint64) * 2 + 1
 
@@ -196,21 +196,19 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, longest: int = 200_000) -> list[tuple[str, int]]:
-    """At most *rows* (text, label) of each label value 0 and 1, by a hash of doc_id; texts of at most *longest* characters.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, volume: int) -> list[tuple[str, int]]:
+    """At most *rows* (text, label) of each label value 0 and 1, by a hash of doc_id, of *volume* bytes together at most.
 
     The ids are chosen among the labels alone; the join's other side is these at most 2 * rows ids.
     """
     ids = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)").dropDuplicates(["doc_id"])
     pick = ids.filter("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).union(ids.filter("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
-    pick = docs.sparkSession.createDataFrame([tuple(r) for r in pick.collect()], "doc_id long, y int")
-    got = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").filter(F.length("text") <= longest).select("doc_id", "text", "y").collect()
-    return [(r["text"], r["y"]) for r in sorted(got, key=lambda r: (r["doc_id"], r["text"]))]
+    return picked_texts(docs, docs.sparkSession.createDataFrame([tuple(r) for r in pick.collect()], "doc_id long, y int"), volume)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 2_500) -> SubwordClassifier:
-    """From labels outside the held-out third, at most *rows* toxic and *rows* clean documents."""
-    sample = labelled(docs, labels.filter(~held_out(F.col("doc_id"))), "toxic", rows)
+def train(docs: DataFrame, labels: DataFrame, rows: int = 2_500, volume: int = 64 << 20) -> SubwordClassifier:
+    """From labels outside the held-out third, at most *rows* toxic and *rows* clean documents of *volume* bytes together."""
+    sample = labelled(docs, labels.filter(~held_out(F.col("doc_id"))), "toxic", rows, volume)
     return SubwordClassifier().fit([t for t, _ in sample], [y for _, y in sample]).frozen()
 
 

@@ -308,16 +308,79 @@ def test_substring_dedup(spark):
     two = next(x for x in got if x["doc_id"] == 2)
     assert (two["start"], two["end"], two["partner_start"], two["partner_end"], two["identity"]) == (10, 80, 100, 170, 1.0)
     assert substring_dedup.substring_dedup(none(spark)).count() == 0
-    substring_dedup.substring_dedup(odd_docs(spark)).collect()
+    # of the odd rows, 7 and 8 have one long text; 5 is there twice
+    assert [(x["doc_id"], x["partner_id"], x["start"], x["end"], x["identity"]) for x in substring_dedup.substring_dedup(odd_docs(spark)).collect()] == [(8, 7, 0, 3000, 1.0)]
+
+
+def test_substring_dedup_of_repeated_ids_is_the_same_in_any_partitions(spark):
+    r = random.Random(15)
+    w = lambda k: " ".join(f"{r.randrange(10**6)}" for _ in range(k))
+    passage = w(80)
+    d = spark.createDataFrame([(1, f"{w(20)} {passage}"), (2, f"b {passage}"), (2, f"a {w(90)}"), (3, f"{passage} {w(20)} {passage}")], "doc_id long, text string")
+    got = {p: sorted(tuple(x) for x in substring_dedup.substring_dedup(d.repartition(p)).collect()) for p in (1, 2, 3, 5)}
+    assert all(x == got[1] for x in got.values()) and [(x[0], x[3]) for x in got[1]] == [(2, 1), (3, 1), (3, 1)]
+
+
+def test_substring_dedup_fuzzy_recall_and_precision(spark):
+    """Planted passages with edits, against all pairs of passages in plain Python: found, whole but for their ends, and nothing else."""
+    r = random.Random(16)
+    w = lambda k: [f"{r.randrange(10**6)}" for _ in range(k)]
+    rows, want = [], {}
+    for i in range(60):
+        p = w(r.randint(70, 160))
+        q = list(p)
+        for _ in range(r.randint(0, len(p) // 25)):
+            j = r.randrange(len(q))
+            q[j : j + 1] = r.choice([w(1), [], [q[j], *w(1)]])
+        head = w(r.randint(0, 80))
+        rows += [(2 * i, " ".join([*w(40), *p, *w(40)])), (2 * i + 1, " ".join([*head, *q, *w(40)]))]
+        want[2 * i + 1] = (2 * i, len(head), len(head) + len(q))
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {x["doc_id"] for x in got} <= set(want)
+    good = 0
+    for i, (partner, a, b) in want.items():
+        own = [x for x in got if x["doc_id"] == i]
+        covered = sum(max(0, min(b, x["end"]) - max(a, x["start"])) for x in own)
+        good += all(x["partner_id"] == partner for x in own) and covered >= 0.8 * (b - a) and sum(x["n_words"] for x in own) <= 1.1 * (b - a)
+    assert good >= 0.9 * len(want)
+
+
+def test_align_matches_the_full_table():
+    r = random.Random(17)
+    for _ in range(60):
+        a = np.array([r.randrange(30) for _ in range(r.randint(1, 150))], np.uint64)
+        b = [x for x in a.tolist() if r.random() < 0.9]
+        for _ in range(r.randint(0, 10)):
+            b.insert(r.randrange(len(b) + 1), r.randrange(30))
+        b = np.array(b, np.uint64)
+        t = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                t[i + 1, j + 1] = max(t[i, j + 1], t[i + 1, j], t[i, j] + (a[i] == b[j]))
+        got = substring_dedup.align(a, b, 200) if len(a) != len(b) or (a == b).sum() < 0.95 * len(a) else None
+        assert got is None or got == t[-1, -1] / max(len(a), len(b), 1)
+        assert substring_dedup.align(a, b, 8) <= t[-1, -1] / max(len(a), len(b), 1) + 1e-9
 
 
 def test_chains_by_fenwick_match_quadratic():
     r = random.Random(4)
-    for _ in range(30):
-        line = [(x, x + 5) for x in range(0, 60, 6)]
-        noise = [(r.randrange(80), r.randrange(80)) for _ in range(5)]
-        c = substring_dedup.chains(line + noise, 8)
-        assert max(b - a for a, b, _, _ in c) >= 62
+    for n in range(120):
+        wide = r.choice([60, 200, 900])
+        anchors = {(r.randrange(wide), r.randrange(wide)) for _ in range(r.randint(0, 60))} | {(x, x + 5) for x in range(0, wide, r.choice([6, 20, 70]))}
+        runs = substring_dedup.diagonal_runs(list(anchors), 8)
+        cost, reach = r.choice([0.0, 0.05, 0.3]), r.choice([10, 60])
+        best: dict = {}
+        for x, y, last in sorted(runs, key=lambda q: q[0]):
+            gains = [best[p] - cost * (x - p[2] - 8 + y - (p[1] + p[2] - p[0] + 8)) for p in best if p[2] + 8 <= x <= p[2] + 8 + reach and 0 <= y - (p[1] + p[2] - p[0] + 8) <= reach]
+            best[x, y, last] = last - x + 8 + max([0.0, *gains])
+        score, before = substring_dedup.linked(runs, 8, cost, reach)
+        assert score == pytest.approx([best[q] for q in runs])
+        for i, j in enumerate(before):
+            if j >= 0:
+                (x, y, _), (px, py, pl) = runs[i], runs[j]
+                assert 0 <= x - pl - 8 <= reach and 0 <= y - (py + pl - px + 8) <= reach
+        found = substring_dedup.chains(list(anchors), 8, cost, reach)
+        assert {x for x, *_ in found} <= {x for x, *_ in runs} and all(any(a <= x and last + 8 <= b for a, b, _, _ in found) for x, _, last in runs)
 
 
 def test_substring_dedup_finds_all_repeats(spark):
@@ -335,6 +398,53 @@ def test_substring_dedup_finds_all_repeats(spark):
 # 3 line dedup
 
 
+def brute_line_dedup(rows, every=3, window=2, least=2):
+    """By (doc_id, text): chunk boundaries from chained xxhash64, later chunks of equal bytes removed."""
+    import xxhash
+
+    def chunks(text):
+        lines = (text or "").split("\n")
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in lines]
+        out, cur = [], []
+        for i, x in enumerate(lines):
+            seed = 42
+            for j in range(window):
+                if i - j >= 0:
+                    seed = xxhash.xxh64_intdigest(h[i - j].to_bytes(8, "little"), seed)
+            cur.append(x)
+            signed = seed - 2**64 if seed >= 2**63 else seed
+            if signed % every == 0 or i == len(lines) - 1:
+                out.append(cur)
+                cur = []
+        return out
+
+    first, out = {}, {}
+    for i, t in sorted(rows):
+        for k, c in enumerate(chunks(t)):
+            if len(c) >= least:
+                first.setdefault("\n".join(c), (i, k))
+    for i, t in rows:
+        own = chunks(t)
+        stay = [c for k, c in enumerate(own) if len(c) < least or first["\n".join(c)] == (i, k)]
+        out[i] = ("\n".join("\n".join(c) for c in stay), len(own), len(own) - len(stay), sum(map(len, own)) - sum(map(len, stay)))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_line_dedup_against_brute_force(spark, seed):
+    r = random.Random(seed)
+    pool = [[f"line {r.randrange(10**6)} ä" for _ in range(r.randint(1, 25))] for _ in range(12)]
+    rows = []
+    for i in range(80):
+        lines = []
+        for _ in range(r.randint(0, 5)):
+            lines += r.choice(pool) if r.random() < 0.6 else [f"own {r.randrange(10**6)}" for _ in range(r.randint(1, 6))] + [""] * r.randint(0, 2)
+        rows.append((i, "\n".join(lines)))
+    got = {x["doc_id"]: (x["text"], x["n_chunks"], x["n_removed_chunks"], x["n_removed_lines"]) for x in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    want = brute_line_dedup(rows)
+    assert got == want and sum(x[2] for x in want.values()) > 50
+
+
 def test_line_dedup_removes_later_chunks(spark):
     block = "\n".join(f"license line {i}" for i in range(40))
     rows = [(1, "a b c\n" + block + "\nend one"), (2, "other\nlines\n" + block + "\nend two"), (3, "plain"), (4, None), (5, block + "\n" + block)]
@@ -528,6 +638,70 @@ def test_quality_rules_and_classifier_on_held_out(spark):
 # 1 toxicity
 
 
+def test_toxicity_scores_from_given_weights():
+    """Every text's score by plain Python: n-grams of each word with its edges, windows, softmax over two classes."""
+    r = random.Random(18)
+    mix, bits, width = toxicity._MIX, 10, 5
+    m = toxicity.SubwordClassifier(bits=bits, width=width).frozen()
+    m.logit = np.array([r.uniform(-3, 3) for _ in range(1 << bits)], np.float32)
+    m.bias = -0.7
+
+    def gram(g):
+        h = sum(ord(c) * int(mix[j]) for j, c in enumerate(g)) % 2**64
+        return ((h ^ (h >> 29)) * (int(mix[7]) + 2 * len(g)) % 2**64) >> (64 - bits)
+
+    def score(t):
+        ws = WORDS.findall(t.lower())
+        each = [sorted(gram(f" {w} "[i : i + n]) for n in (3, 4, 5) for i in range(len(w) + 3 - n)) for w in ws]
+        each = [[] if i and each[i] == each[i - 1] else g for i, g in enumerate(each)]
+        if not ws:
+            return 1 / (1 + np.exp(-m.bias))
+        runs = [sum(each[i : i + width], []) for i in range(max(1, len(ws) - width + 1))]
+        z = max(sum(float(m.logit[b]) for b in g) / (len(g) + toxicity.PAD) for g in runs) + m.bias
+        return 1 / (1 + np.exp(-z))
+
+    vocab = ["a", "Bad", "xy", "wörd", "longerword", "\u4f60\u597d", "9", "it's"]
+    texts = ["", " \n", "a", "a a a b", *(" ".join(r.choice(vocab) for _ in range(r.randint(1, 30))) for _ in range(60))]
+    assert m.scores(texts) == pytest.approx([score(t) for t in texts], abs=1e-5)
+
+
+def test_ordinal_model_against_brute_force():
+    """Tail probabilities and the fitted optimum by plain Python: no small step in any used weight or threshold is likelier."""
+    r = random.Random(19)
+    texts = [" ".join(r.choice(["good", "fine", "ok", "Bad", "junk!!", "12"][2 * g : 2 * g + 4]) for _ in range(12)) for g in (0, 1, 2) for _ in range(15)]
+    y = [g for g in (0, 1, 2) for _ in range(15)]
+    m = quality_classifier.CumulativeLink(3, bits=8).fit(texts, y, steps=400, rate=0.05, ridge=0.0)
+    doc, bucket, weight = quality_classifier.hashed(texts, 8)
+
+    def likelihood(w, t):
+        out = 0.0
+        for d, g in enumerate(y):
+            f = sum(w[b] * v for b, v in zip(bucket[doc == d], weight[doc == d], strict=True))
+            tail = [1.0, *(1 / (1 + np.exp(-(f - x))) for x in t), 0.0]
+            out += np.log(max(tail[g] - tail[g + 1], 1e-9))
+        return out
+
+    f = np.array([sum(m.w[b] * v for b, v in zip(bucket[doc == d], weight[doc == d], strict=True)) for d in range(len(texts))])
+    assert m.latent(texts) == pytest.approx(f)
+    t = m.thresholds()
+    assert t[0] < t[1] and m.tails(f)[:, 1] == pytest.approx(1 / (1 + np.exp(-(f - t[1]))))
+    best = likelihood(m.w, t)
+    assert best > likelihood(np.zeros_like(m.w), np.array([-0.69, 0.69])) + 20
+    start = quality_classifier.CumulativeLink(3, bits=8)
+    early = start.fit(texts, y, steps=5, rate=0.05, ridge=0.0)
+    assert likelihood(early.w, early.thresholds()) < best
+
+
+def test_labelled_texts_have_a_bound_in_bytes_and_none_in_length(spark):
+    from factloom.llm.common import picked_texts
+
+    d = spark.createDataFrame([(1, "x" * 300_000), (2, "abc"), (2, "ab"), (3, None), (4, "é" * 10), (5, "not picked")], "doc_id long, text string")
+    pick = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3, 4)], "doc_id long, y int")
+    got = picked_texts(d, pick, 1 << 20)
+    assert sorted((len(t), y) for t, y in got) == [(2, 0), (10, 0), (300_000, 1)]
+    assert sorted(len(t) for t, _ in picked_texts(d, pick, 30)) == [2, 10] and picked_texts(d, pick.limit(0), 30) == []
+
+
 def test_toxicity_learns_and_shares_misspellings(spark):
     r = random.Random(12)
     syl = ["ba", "ko", "ri", "nel", "tas", "um", "der", "sol"]
@@ -630,7 +804,7 @@ def test_chains_pass_over_far_predecessors():
     assert sorted(substring_dedup.chains(far + line, 8, reach=60)) == [(0, 400, 7, 407), (500, 888, 507, 895)]
     r = random.Random(14)
     for _ in range(40):
-        tree, held = substring_dedup.Maxima(9), []
+        tree, held = substring_dedup.FenwickMaxima(9), []
         for item in range(60):
             held.append((r.randrange(9), float(r.randrange(20)), item))
             tree.put(*held[-1])
