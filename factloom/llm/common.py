@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Characters handled at once by the numpy code; bounds a Python worker's memory except for one longer text.
 CHUNK_CHARS = 1 << 20
+#: Bytes of a batch of rows for Python in stored().
+BATCH_BYTES = 16 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -35,10 +38,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write *df* as Parquet in the shared folder and read it back: cuts lineage, survives lost executors, fixes partitions."""
+    """Write *df* as Parquet in the shared folder and read it back: cuts lineage, survives lost executors, fixes partitions.
+
+    Meanwhile batches for Python are BATCH_BYTES at most: rows may hold whole texts or sets, and the JVM and the worker of each task
+    hold several batches.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/factloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    held = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_BATCH) if held is None else spark.conf.set(_BATCH, held)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
