@@ -233,7 +233,7 @@ def substring_dedup(docs: DataFrame, k: int = 8, window: int = 12, least: int =
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in cols], ["seed", "doc_id", "at", "run"])
 
-    seeds = docs.mapInArrow(seed, "seed long, doc_id long, at long, run long")
+    seeds = stored(docs.mapInArrow(seed, "seed long, doc_id long, at long, run long"), "seeds")  # read for the owners and for the links
     # 37 digits: 19 of the doc_id, then 9 each for place and run
     place = F.col("doc_id").cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)") + (F.col("at") * 10**9 + F.col("run")).cast("decimal(19,0)")
     owner = seeds.groupBy("seed").agg(F.min(place).alias("o"), F.min("doc_id").alias("partner_id"), F.max("doc_id").alias("far")).filter("far > partner_id")
