@@ -65,8 +65,9 @@ class Warehouse:
         """Write *df* as zstd Parquet, partitioned by source, so that a filter on source prunes files."""
         df.write.mode(mode).option("compression", "zstd").partitionBy("source").parquet(f"{self.root}/{name}")
 
-    def sql(self, text: str, **args) -> DataFrame:
-        return self.spark.sql(text, args=args or None)
+    def sql(self, text: str, *values, **args) -> DataFrame:
+        """A statement with its parameters bound, either ? in order or :name."""
+        return self.spark.sql(text, args=list(values) or args or None)
 
     def run_script(self, text: str) -> Iterator[Result]:
         """Each statement's frame or error, in order; an error doesn't stop the rest."""
@@ -189,17 +190,25 @@ def split_statements(text: str) -> list[str]:
     return [s for s in out if s]
 
 
-def render(df: DataFrame, limit: int = 200) -> str:
-    """At most *limit* rows as a markdown table; whole numbers above 0xFFFF in hexadecimal."""
-    rows = df.limit(limit).collect()
+def render(df: DataFrame, limit: int = 200, style: str = "markdown") -> str:
+    """At most *limit* rows as a table in "markdown", "html" or "text"; whole numbers above 0xFFFF in hexadecimal, nulls blank."""
+    from html import escape
 
     def show(v) -> str:
         if v is None:
             return ""
-        return f"0x{v:08x}" if isinstance(v, int) and not isinstance(v, bool) and v > 0xFFFF else str(v).replace("|", "\\|").replace("\n", " ")
-
+        return f"0x{v:08x}" if isinstance(v, int) and not isinstance(v, bool) and v > 0xFFFF else str(v)
+
+    rows = [[show(v) for v in r] for r in df.limit(limit).collect()]
+    if style == "html":
+        cells = lambda r, tag: "".join(f"<{tag}>{escape(v)}</{tag}>" for v in r)
+        return "<table><tr>" + "</tr><tr>".join([cells(df.columns, "th"), *(cells(r, "td") for r in rows)]) + "</tr></table>"
+    if style == "text":
+        width = [max(map(len, c)) for c in zip(df.columns, *rows, strict=True)]
+        return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, width, strict=True)).rstrip() for r in [df.columns, *rows])
+    plain = lambda v: v.replace("|", "\\|").replace("\n", " ")
     head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns)
-    return "\n".join([head, *("| " + " | ".join(show(v) for v in r) + " |" for r in rows)])
+    return "\n".join([head, *("| " + " | ".join(map(plain, r)) + " |" for r in rows)])
 
 
 __all__ = ["TABLES", "Result", "Warehouse", "render", "split_statements"]

@@ -74,6 +74,32 @@ def unreachable(edges: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFra
     return nodes.join(reach(edges, roots), "node", "left_anti")
 
 
+def reach_report(edges: DataFrame, functions: DataFrame, entries: DataFrame, root: str = "main", least: int = 3) -> dict[str, DataFrame]:
+    """The six relations of a call graph, for one program.
+
+    reaches (src, dst); reach_count (node, name, reachable); orchestrators (node, name, direct, reachable); unreachable_from_main
+    and truly_unreachable (node, name): what neither *root* reaches nor, for the latter, any of *entries* (node);
+    subsystem_pairs (name_a, name_b, shared): callers with *least* callees in common. *functions*: node, name. Functions called
+    *root* are entries too.
+    """
+    e = arrows(edges)
+    pairs = closure(e)
+    mains = fixed(functions.filter(F.col("name") == root).select("node"))
+    direct = e.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("direct"))
+    count = pairs.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("reachable"))
+    counted = functions.select("node", "name").join(direct, "node", "left").join(count, "node", "left").na.fill(0, ["direct", "reachable"])
+    shared = shared_callees(e, least)
+    names = lambda side: functions.select(F.col("node").alias(side), F.col("name").alias(f"name_{side}"))
+    return {
+        "reaches": pairs,
+        "reach_count": counted.select("node", "name", "reachable"),
+        "orchestrators": counted.filter("direct >= 5 and reachable >= 20"),
+        "unreachable_from_main": unreachable(e, functions, mains).select("node", "name"),
+        "subsystem_pairs": shared.join(names("a"), "a").join(names("b"), "b").select("name_a", "name_b", "shared"),
+        "truly_unreachable": unreachable(e, functions, mains.union(entries.select("node"))).select("node", "name"),
+    }
+
+
 def shared_callees(edges: DataFrame, least: int = 3) -> DataFrame:
     """Pairs of callers a < b with *least* callees or more in common."""
     e = arrows(edges)

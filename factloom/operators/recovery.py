@@ -22,6 +22,14 @@ def vector_edges(slots: DataFrame, functions: DataFrame) -> DataFrame:
     return own.select("source", none.alias("caller_addr"), F.col("at").alias("callee_addr"), none.alias("call_site_addr"), F.lit("vector_table").alias("mechanism"), level.alias("confidence"))
 
 
+def default_handlers(slots: DataFrame, least: int = 3) -> DataFrame:
+    """source, handler, slots: the address that most slots of a vector table (source, slot from 1 on, word) hold, if *least* or more do;
+    of equally common ones the one that comes first."""
+    g = slots.filter("slot >= 1 and word != 0").groupBy("source", F.col("word").bitwiseAND(F.lit(~1)).alias("handler")).agg(F.count(F.lit(1)).alias("slots"), F.min("slot").alias("first"))
+    best = g.groupBy("source").agg(F.min_by(F.struct("handler", "slots"), F.struct(-F.col("slots"), F.col("first"), F.col("handler"))).alias("b"))
+    return best.select("source", "b.handler", "b.slots").filter(F.col("slots") >= least)
+
+
 def pointer_edges(xrefs: DataFrame, functions: DataFrame, discovered: DataFrame | None = None) -> DataFrame:
     """Data references to entries: .7 for known functions, .55 for discovered addresses; a function's own entry is no target."""
     t = functions.select("source", F.col("addr").alias("to_addr"), F.lit(0.7).alias("confidence"))

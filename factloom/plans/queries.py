@@ -418,6 +418,56 @@ def reach_set(spark, d):
     return graph.reach(e, _seed(e)).select("node")
 
 
+@query("multi_root_reach", with_shapes(", r(node, depth) AS (SELECT DISTINCT src, 0 FROM edges WHERE src % 25 = 1 UNION SELECT e.dst, depth + 1 FROM r JOIN edges e ON e.src = r.node WHERE depth < 3) SELECT node, min(depth) AS depth FROM r GROUP BY node", "edges"))
+def multi_root_reach(spark, d):
+    e = shape(spark, d, "edges")
+    return graph.reach(e, e.filter("src % 25 = 1").select(F.col("src").alias("node")), 3)
+
+
+# one program's graph: entries are parts 2 and 3, main is part 5
+REPORT = ", n AS (SELECT p_partkey AS node, CASE WHEN p_partkey = 5 THEN 'main' ELSE p_name END AS name FROM part), p(src, dst) AS (SELECT src, dst FROM tree UNION SELECT p.src, t.dst FROM p JOIN tree t ON t.src = p.dst), m AS (SELECT node FROM n WHERE name = 'main'), en AS (SELECT node FROM m UNION SELECT 2 UNION SELECT 3)"
+
+
+def _report(spark, d):
+    n = table(spark, d, "part").select(F.col("p_partkey").alias("node"), F.when(F.col("p_partkey") == 5, "main").otherwise(F.col("p_name")).alias("name"))
+    return graph.reach_report(shape(spark, d, "tree"), n, spark.createDataFrame([(2,), (3,)], "node long"), least=2)
+
+
+@query("report_unreachable", with_shapes(REPORT + " SELECT n.node, n.name, n.node NOT IN (SELECT node FROM en) AND n.node NOT IN (SELECT dst FROM p WHERE src IN (SELECT node FROM en)) AS truly FROM n WHERE n.name <> 'main' AND n.node NOT IN (SELECT dst FROM p WHERE src IN (SELECT node FROM m))", "tree"))
+def report_unreachable(spark, d):
+    r = _report(spark, d)
+    return r["unreachable_from_main"].join(r["truly_unreachable"].select("node", F.lit(True).alias("truly")), "node", "left").na.fill(False, ["truly"])
+
+
+@query("report_counts", with_shapes(REPORT + " SELECT n.node, n.name, (SELECT count(*) FROM p WHERE p.src = n.node) AS reachable FROM n", "tree"))
+def report_counts(spark, d):
+    return _report(spark, d)["reach_count"]
+
+
+@query("subsystem_pairs", with_shapes(", s AS (SELECT a.src AS a, b.src AS b, count(*) AS shared FROM edges a JOIN edges b ON a.dst = b.dst AND a.src < b.src GROUP BY ALL HAVING count(*) >= 2) SELECT 'f' || a AS name_a, 'f' || b AS name_b, shared FROM s", "edges"))
+def subsystem_pairs(spark, d):
+    e = shape(spark, d, "edges")
+    n = e.select(F.col("src").alias("node")).distinct().withColumn("name", F.concat(F.lit("f"), F.col("node")))
+    return graph.reach_report(e, n, n.select("node").limit(0), least=2)["subsystem_pairs"]
+
+
+@query("default_handlers", "WITH s AS (SELECT o_orderpriority AS source, o_orderkey % 300 AS slot, o_custkey % 40 * 4 + o_custkey % 2 AS word FROM orders), g AS (SELECT source, word & ~1 AS handler, count(*) AS slots, min(slot) AS first FROM s WHERE slot >= 1 AND word <> 0 GROUP BY ALL) SELECT source, handler, slots FROM g WHERE slots >= 3 QUALIFY row_number() OVER (PARTITION BY source ORDER BY slots DESC, first, handler) = 1")
+def default_handlers(spark, d):
+    s = table(spark, d, "orders").select(F.col("o_orderpriority").alias("source"), (F.col("o_orderkey") % 300).alias("slot"), (F.col("o_custkey") % 40 * 4 + F.col("o_custkey") % 2).alias("word"))
+    return recovery.default_handlers(s)
+
+
+@query("cube_counts", "SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def cube_counts(spark, d):
+    return table(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_suppkey").alias("suppliers"))
+
+
+@query("framed_windows", with_shapes(" SELECT source, addr, size, lead(size) OVER w AS next_size, ntile(4) OVER w AS quarter, avg(size) OVER (PARTITION BY source ORDER BY addr ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS around FROM functions WINDOW w AS (PARTITION BY source ORDER BY addr)", "functions"))
+def framed_windows(spark, d):
+    w = Window.partitionBy("source").orderBy("addr")
+    return shape(spark, d, "functions").select("source", "addr", "size", F.lead("size").over(w).alias("next_size"), F.ntile(4).over(w).cast("long").alias("quarter"), F.avg("size").over(w.rowsBetween(-2, 2)).alias("around"))
+
+
 TREE = ", p(src, dst) AS (SELECT src, dst FROM tree UNION SELECT p.src, t.dst FROM p JOIN tree t ON t.src = p.dst)"
 
 

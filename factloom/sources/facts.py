@@ -114,6 +114,32 @@ def read_words(spark: SparkSession, path: str, base: int) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, "path string, addr long, word long")
 
 
+def read_sqlite(spark: SparkSession, path: str, table: str, schema: str) -> DataFrame:
+    """One table of SQLite files, read-only, through Spark's file systems: *schema* names its columns. A file is read by one task."""
+    import sqlite3
+
+    names = [f.name for f in StructType.fromDDL(schema).fields]
+    ask = "SELECT " + ", ".join(f'"{n}"' for n in names) + f' FROM "{table}"'
+
+    def rows(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for content in pdf["content"]:
+                db = sqlite3.connect(":memory:")
+                db.deserialize(bytes(content))
+                cursor = db.execute(ask)
+                while part := cursor.fetchmany(10_000):
+                    yield pd.DataFrame(part, columns=names, dtype=object)
+                db.close()
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, schema)
+
+
+def write_relations(relations: dict[str, DataFrame], path: str) -> None:
+    """Each relation as headerless tab-separated files in a folder of its name."""
+    for name, df in relations.items():
+        write_tsv(df, f"{path}/{name}")
+
+
 def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Headerless tab-separated facts."""
     return spark.read.schema(schema).option("sep", "\t").option("header", "false").csv(path)

@@ -327,6 +327,33 @@ def test_sources(spark, tmp_path):
     assert rows(facts.read_tsv(spark, str(tmp_path / "tsv"), "a long, b long"), "a", "b") == [(1, 2)]
 
 
+def test_sqlite_relations_and_report(spark, tmp_path):
+    import sqlite3
+
+    db = sqlite3.connect(tmp_path / "e.db")
+    db.execute("CREATE TABLE evidence_log (id INTEGER, name TEXT, confidence REAL, supersedes_id INTEGER)")
+    db.executemany("INSERT INTO evidence_log VALUES (?, ?, ?, ?)", [(1, "a", 0.5, None), (2, None, 1.0, 1)])
+    db.commit()
+    db.close()
+    got = facts.read_sqlite(spark, str(tmp_path / "e.db"), "evidence_log", "id long, name string, confidence double, supersedes_id long")
+    assert sorted(got.collect()) == [(1, "a", 0.5, None), (2, None, 1.0, 1)]
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 2), (4, 3), (5, 2), (5, 3), (6, None)], "src int, dst int")
+    f = spark.createDataFrame([(i, "main" if i == 1 else f"f{i}") for i in range(1, 8)], "node int, name string")
+    r = graph.reach_report(e, f, spark.createDataFrame([(4,)], "node int"), least=2)
+    assert list(r) == ["reaches", "reach_count", "orchestrators", "unreachable_from_main", "subsystem_pairs", "truly_unreachable"]
+    assert rows(r["unreachable_from_main"], "node") == [(4,), (5,), (6,), (7,)] and rows(r["truly_unreachable"], "node") == [(5,), (6,), (7,)]
+    assert rows(r["subsystem_pairs"], "name_a", "name_b", "shared") == [("f4", "f5", 2)] and r["reaches"].count() == 15
+    facts.write_relations({k: r[k] for k in ("subsystem_pairs", "reach_count")}, str(tmp_path / "out"))
+    assert rows(facts.read_tsv(spark, str(tmp_path / "out" / "subsystem_pairs"), "a string, b string, n int"), "a", "b", "n") == [("f4", "f5", 2)]
+    m = spark.createDataFrame([(1, "high"), (2, "low"), (3, "low")], "id int, tier string")
+    facts.write_json_report(m, str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json" / "summary")).first()["tiers"].asDict() == {"high": 1, "low": 2} and spark.read.json(str(tmp_path / "json" / "matches")).count() == 3
+    t = spark.createDataFrame([(70000, "<a|b>")], "n int, s string")
+    assert render(t, style="html") == "<table><tr><th>n</th><th>s</th></tr><tr><td>0x00011170</td><td>&lt;a|b&gt;</td></tr></table>"
+    assert render(t, style="text").splitlines()[1] == "0x00011170  <a|b>" and "<a\\|b>" in render(t)
+    assert Warehouse(spark, "x").sql("SELECT ? + 1 AS a", 4).first()[0] == 5 and Warehouse(spark, "x").sql("SELECT :v AS a", v="q").first()[0] == "q"
+
+
 def test_warehouse(spark, tmp_path):
     for t, extra in (("t1", ""), ("t2", ", 5 AS extra")):
         (tmp_path / t / "tables").mkdir(parents=True)
