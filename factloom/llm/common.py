@@ -22,7 +22,7 @@ CHUNK_CHARS = 1 << 20
 BATCH_BYTES = 16 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
-_made: list[tuple[SparkSession, str]] = []
+_made: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,17 +51,39 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.unset(_BATCH) if held is None else spark.conf.set(_BATCH, held)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _made[path] = spark
+    out._stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables behind frames that stored() returned and that nothing reads any more; other frames are left alone.
+
+    What a result still reads stays until the session ends, or until release().
+    """
+    for df in frames:
+        _delete(getattr(df, "_stored_at", ""))
+
+
+def release() -> None:
+    """Delete all tables that stored() has written so far: for long sessions, once results are written elsewhere."""
+    for path in list(_made):
+        _delete(path)
+
+
+def _delete(path: str) -> None:
+    spark = _made.pop(path, None)
+    if spark is not None:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _clean() -> None:
-    for spark, path in _made:
-        try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001  the JVM may be gone at exit
-            return
+    try:
+        release()
+    except Exception:  # noqa: BLE001  the JVM may be gone at exit
+        return
 
 
 atexit.register(_clean)

@@ -297,7 +297,7 @@ def survivors(docs: DataFrame, keep: str = "smallest", normalise: Callable[[str]
     folded = docs.mapInArrow(fold, schema)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if normalise:
-        hash_ = F.udf(lambda t: hashlib.sha256(key_of(t)).hexdigest(), "string")
+        hash_ = F.pandas_udf(lambda s: s.map(lambda t: hashlib.sha256(key_of(t)).hexdigest()), "string")
         folded = folded.repartition(parts, hash_("text"))
     else:
         folded = folded.repartition(parts, F.octet_length(text), F.sha2(text, 256))

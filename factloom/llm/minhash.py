@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, batches, code_points, numbered, stored, texts_of, word_spans
+from .common import ROW, batches, code_points, discard, numbered, stored, texts_of, word_spans
 
 _RNG = np.random.default_rng(20240609)
 _A, _B = (_RNG.integers(1, 2**63, 16, dtype=np.uint64) * 2 + 1 for _ in range(2))
@@ -164,36 +164,43 @@ def components(edges: DataFrame) -> DataFrame:
     tables are written to the shared folder, none comes to the driver but the number of edges left.
     """
     e = edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b")
-    labels = None
+    labels = before = None
     while True:
         parent = e.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("node"), F.least("a", "p").alias("comp"))
-        parent = stored(parent, "hook")
+        hook = parent = stored(parent, "hook")
         for _ in range(3):
             up = parent.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
             parent = parent.join(up, "comp").select("node", F.col("top").alias("comp"))
         parent = stored(parent, "jump")
         labels = parent if labels is None else labels.join(parent.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
-        labels = stored(labels, "labels")
+        old, labels = (before, e), stored(labels, "labels")
+        before = labels
         pa_, pb = parent.select(F.col("node").alias("a"), F.col("comp").alias("x")), parent.select(F.col("node").alias("b"), F.col("comp").alias("y"))
         e = stored(e.join(pa_, "a").join(pb, "b").filter("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "contracted")
+        discard(hook, parent, *(x for x in old if x is not None))
         if e.isEmpty():
+            discard(e)
             return labels
 
 
 def contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
     """*labels* (node, comp) after *links* (a, b) between nodes, of which those without a label are components of their own.
 
-    The work is on the components that the links touch, not on all nodes again.
+    The former labels are discarded. The work is on the components that the links touch, not on all nodes again.
     """
 
     e = links.join(labels.toDF("a", "x"), "a", "left").join(labels.toDF("b", "y"), "b", "left")
     e = stored(e.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).filter("a != b").distinct(), "joins")
     if e.isEmpty():
+        discard(e)
         return labels
-    top = components(e).toDF("comp", "top")
+    found = components(e)
+    top = found.toDF("comp", "top")
     moved = labels.join(top, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
     new = top.join(labels.select(F.col("node").alias("comp")), "comp", "left_anti").toDF("node", "comp")
-    return stored(moved.unionByName(new), "labels")
+    out = stored(moved.unionByName(new), "labels")
+    discard(e, found, labels)
+    return out
 
 
 def _arrow(rows: list[tuple], names: tuple, kinds: tuple) -> pa.RecordBatch:
@@ -254,7 +261,10 @@ class NearDuplicates:
         both = both.filter(F.least("na", "nb") * rule.den >= F.greatest("na", "nb") * rule.num)
         few = stored(both.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(likely, "a long, b long"), "likely")
         nodes = few.select(F.col("a").alias("node")).union(few.select("b")).distinct()
-        return self.exact(few, stored(self.whole_sets(nodes.join(side.select("node", "who"), "node")), "whole"))
+        whole = stored(self.whole_sets(nodes.join(side.select("node", "who"), "node")), "whole")
+        out = self.exact(few, whole)
+        discard(few, whole)
+        return out
 
     def exact(self, pairs: DataFrame, whole: DataFrame) -> DataFrame:
         """Those of *pairs* (a, b) whose sets in *whole* (node, members) reach the threshold."""
@@ -395,7 +405,9 @@ class NearDuplicates:
         pivot = lists.groupBy("value").agg(F.min_by("node", F.struct("rare", "node")).alias("pivot"))
         members = stored(lists.join(pivot, "value").select("node", "pivot").distinct(), "members")
         ids = members.select("node").union(members.select("pivot")).distinct().join(classes.select("node", "who"), "node")
-        whole = self.counted(stored(self.whole_sets(ids), "dense"))
+        plain = stored(self.whole_sets(ids), "dense")
+        whole = self.counted(plain)
+        discard(plain)
         found = self.deltas(members.filter("node != pivot"), whole)
         labels = contracted(labels, found.filter("value is null").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
         posted = found.filter("value is not null")
@@ -412,7 +424,11 @@ class NearDuplicates:
                 far = x.filter("half").join(y.filter("half and not near"), same & (F.col("x.node") < F.col("y.node")))
                 pairs = far.select("x.node", "y.node").union(x.join(y.filter("near"), same).select("x.node", "y.node")).toDF("a", "b")
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            labels = contracted(labels, self.exact(stored(pairs, "crossing"), whole))
+            pairs = stored(pairs, "crossing")
+            links = self.exact(pairs, whole)
+            labels = contracted(labels, links)
+            discard(named, pairs, links)
+        discard(members, whole, found)
         return labels
 
     def neighbours(self, named: DataFrame) -> DataFrame:
@@ -450,7 +466,7 @@ class NearDuplicates:
         star = sized.join(centre, "value").filter((F.col("node") != F.col("c.node")) & fits).select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
         links = self.verified(star, classes)
         if links.isEmpty():
-            labels = links.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+            labels = links.sparkSession.createDataFrame([], "node long, comp long")
         else:
             labels = components(links)
         # then whatever a list still holds in several components
@@ -460,10 +476,14 @@ class NearDuplicates:
         x, y = (rest.filter(F.col("m") <= SMALL).alias(s) for s in "xy")
         size = F.least("x.n", "y.n") * self.rule.den >= F.greatest("x.n", "y.n") * self.rule.num
         pairs = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & size).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        labels = contracted(labels, self.verified(stored(pairs, "crossing"), classes))
+        pairs = stored(pairs, "crossing")
+        more = self.verified(pairs, classes)
+        labels = contracted(labels, more)
+        discard(pairs, more, links, posted, held)
         long_ = rest.filter(F.col("m") > SMALL)
         if not long_.isEmpty():
             labels = self.dense(long_.select("value", "node", "rare"), classes, labels)
+        discard(rest)
         named = classes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         least = named.groupBy("comp").agg(F.min("who").alias("least"))
         named = named.select("node", "comp").join(least, "comp").select("node", "least")
