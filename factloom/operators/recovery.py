@@ -136,10 +136,14 @@ def offset_map(x: DataFrame, base: int, end: int) -> DataFrame:
 
 
 def writer_reader_flow(x: DataFrame, least: int = 1) -> DataFrame:
-    """Pairs writer, reader of two functions with the number of addresses one writes and the other reads, *least* or more."""
+    """Pairs writer, reader of two functions with the number of addresses one writes and the other reads, *least* or more.
+
+    Functions that write, or read, fewer addresses than that are in no pair and don't reach the join.
+    """
+    many = lambda d, who: d if least < 2 else d.join(d.groupBy("source", who).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least), ["source", who], "left_semi")
     w = x.filter("ref_type = 'WRITE'").select("source", "to_addr", F.col("function_addr").alias("writer")).distinct()
     r = x.filter("ref_type = 'READ'").select("source", "to_addr", F.col("function_addr").alias("reader")).distinct()
-    return w.join(r, ["source", "to_addr"]).filter("writer != reader").groupBy("source", "writer", "reader").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
+    return many(w, "writer").join(many(r, "reader"), ["source", "to_addr"]).filter("writer != reader").groupBy("source", "writer", "reader").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
 
 
 def shared_globals(x: DataFrame, lo: int, hi: int) -> DataFrame:

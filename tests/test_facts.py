@@ -389,6 +389,31 @@ def test_streamed_trace_equals_batch(spark, tmp_path):
     assert rows(got, "sequence_idx", "pc", "address") == [(0, 100, 8), (1, 100, 9)]
 
 
+def test_streams_resume_window_and_drop_repeats(spark, tmp_path):
+    """Append sink that goes on from its checkpoint (new files only), late rows, repeats within the watermark, latest per key."""
+    from factloom.streaming import trace_stream as ts
+
+    schema = "k string, ts timestamp, value double, confidence double"
+    at = lambda h: f"2024-01-01 {h:02d}:10:00"
+
+    def put(name, data):
+        spark.createDataFrame(data, "k string, ts string, value double, confidence double").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+
+    put("in", [("a", at(1), 1.0, 0.5), ("a", at(1), 2.0, 0.9), ("b", at(2), 3.0, 0.1)])
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    for n in (3, 4):
+        ts.to_parquet(ts.read_stream(spark, str(tmp_path / "in"), schema), out, ck).awaitTermination()
+        assert spark.read.parquet(out).count() == n
+        put("in", [("a", at(9), 4.0, 0.2)])
+    best = identity.latest(spark.read.parquet(out), ["k"], [F.desc("confidence"), F.col("ts")])
+    assert rows(best, "k", "confidence") == [("a", 0.9), ("b", 0.1)]
+    batch = spark.read.parquet(out)
+    assert rows(ts.windowed(batch, "ts", "1 hour", ["k"]), "k", "n", "total") == [("a", 1, 4.0), ("a", 2, 3.0), ("b", 1, 3.0)]
+    assert rows(ts.sessions(batch, "ts", "3 hours", ["k"]), "k", "n") == [("a", 1), ("a", 2), ("b", 1)]
+    once = ts.run_once(ts.first_seen(ts.read_stream(spark, out, schema), "ts", ["k"]), "once", str(tmp_path / "ck2"))
+    assert once.filter("k = 'b'").count() == 1 and once.filter("k = 'a'").count() <= 2
+
+
 def test_entry_survives_without_the_subpackage(tmp_path):
     import shutil
     import subprocess
