@@ -23,6 +23,8 @@ SMALL = 16
 CENTRES = 8
 #: Chance that a pair at the threshold is missed by sketches; fixes how many retained values it must share.
 LOSS = 1e-9
+#: Places of texts are broadcast up to this number: 24 bytes each, some 10 MB as a hash table.
+FEW = 200_000
 #: log2 of the cells that count how common hashed values are; they only set an order, so collisions cost time, not pairs.
 CELLS = 20
 
@@ -262,12 +264,12 @@ class NearDuplicates:
         few = stored(both.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(likely, "a long, b long"), "likely")
         nodes = few.select(F.col("a").alias("node")).union(few.select("b")).distinct()
         whole = stored(self.whole_sets(nodes.join(side.select("node", "who"), "node")), "whole")
-        out = self.exact(few, whole)
+        out = stored(self.exact(few, whole), "links")
         discard(few, whole)
         return out
 
     def exact(self, pairs: DataFrame, whole: DataFrame) -> DataFrame:
-        """Those of *pairs* (a, b) whose sets in *whole* (node, members) reach the threshold."""
+        """Those of *pairs* (a, b) whose sets in *whole* (node, members) reach the threshold; not stored."""
         rule = self.rule
 
         def work(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +282,7 @@ class NearDuplicates:
                 yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         sets = pairs.join(whole.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a").join(whole.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b")
-        return stored(sets.select("a", "b", "ma", "mb").mapInArrow(work, "a long, b long"), "links")
+        return sets.select("a", "b", "ma", "mb").mapInArrow(work, "a long, b long")
 
     def whole_sets(self, ids: DataFrame) -> DataFrame:
         """The sets of the nodes in *ids* (node, who), from the text of one row each: node, members (sorted int64)."""
@@ -290,16 +292,17 @@ class NearDuplicates:
             for b in batches(it):
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in shingle_sets(texts_of(b), words)], pa.binary())], ["node", "members"])
 
-        texts = self.docs.join(ids.select("node", F.col("who.at").alias("at")), "at").select("node", "text")
-        return texts.mapInArrow(work, "node long, members binary")
+        ids = stored(ids.select("node", F.col("who.at").alias("at")), "ids")
+        # 24 bytes a row: counted, and sent to the texts if it is small; otherwise both sides are dealt by place
+        few = F.broadcast(ids) if ids.count() <= FEW else ids
+        return self.docs.join(few, "at").select("node", "text").mapInArrow(work, "node long, members binary")
 
-    def counted(self, whole: DataFrame) -> DataFrame:
-        """Each whole set with how many of these sets hold each of its shingles: node, members, seen (int64).
+    def counted(self, whole: DataFrame, total: int) -> DataFrame:
+        """Each whole set, of *total* members together, with how many of these sets hold each of its shingles: node, members, seen (int64).
 
         Sets are cut by ranges of hash values, a task counts all values of its ranges, and the counted parts come back
         together by batch of sets.
         """
-        total = whole.agg(F.sum(F.octet_length("members") / 8)).first()[0] or 0
         parts = max(int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total // 2_000_000) + 1)
         edges = np.linspace(0, 2.0**63, parts + 1)[1:-1].astype(np.int64)
 
@@ -404,10 +407,8 @@ class NearDuplicates:
         """
         pivot = lists.groupBy("value").agg(F.min_by("node", F.struct("rare", "node")).alias("pivot"))
         members = stored(lists.join(pivot, "value").select("node", "pivot").distinct(), "members")
-        ids = members.select("node").union(members.select("pivot")).distinct().join(classes.select("node", "who"), "node")
-        plain = stored(self.whole_sets(ids), "dense")
-        whole = self.counted(plain)
-        discard(plain)
+        ids = classes.join(members.select("node").union(members.select("pivot")).distinct(), "node", "left_semi")
+        whole = self.counted(self.whole_sets(ids), ids.agg(F.sum("n")).first()[0] or 0)
         found = self.deltas(members.filter("node != pivot"), whole)
         labels = contracted(labels, found.filter("value is null").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
         posted = found.filter("value is not null")
@@ -424,10 +425,8 @@ class NearDuplicates:
                 far = x.filter("half").join(y.filter("half and not near"), same & (F.col("x.node") < F.col("y.node")))
                 pairs = far.select("x.node", "y.node").union(x.join(y.filter("near"), same).select("x.node", "y.node")).toDF("a", "b")
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            pairs = stored(pairs, "crossing")
-            links = self.exact(pairs, whole)
-            labels = contracted(labels, links)
-            discard(named, pairs, links)
+            labels = contracted(labels, self.exact(pairs, whole))
+            discard(named)
         discard(members, whole, found)
         return labels
 
@@ -476,10 +475,9 @@ class NearDuplicates:
         x, y = (rest.filter(F.col("m") <= SMALL).alias(s) for s in "xy")
         size = F.least("x.n", "y.n") * self.rule.den >= F.greatest("x.n", "y.n") * self.rule.num
         pairs = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & size).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        pairs = stored(pairs, "crossing")
         more = self.verified(pairs, classes)
         labels = contracted(labels, more)
-        discard(pairs, more, links, posted, held)
+        discard(more, links, posted, held)
         long_ = rest.filter(F.col("m") > SMALL)
         if not long_.isEmpty():
             labels = self.dense(long_.select("value", "node", "rare"), classes, labels)
