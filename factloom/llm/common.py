@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +18,9 @@ from pyspark.sql import functions as F
 #: A word of the contracts: a run of anything but space and the five ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Characters handled at once by the numpy code; bounds a Python worker's memory except for one longer text.
-CHUNK_CHARS = 1 << 20
-#: Bytes of a batch of rows for Python in stored().
-BATCH_BYTES = 16 << 20
+CHUNK_CHARS = 1 << 18
+#: Bytes of a batch of rows for Python.
+BATCH_BYTES = 8 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _made: dict[str, SparkSession] = {}
@@ -40,17 +41,14 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write *df* as Parquet in the shared folder and read it back: cuts lineage, survives lost executors, fixes partitions.
 
-    Meanwhile batches for Python are BATCH_BYTES at most: rows may hold whole texts or sets, and the JVM and the worker of each task
-    hold several batches.
+    From then on the session's batches for Python are BATCH_BYTES at most, unless its setting is not the default: rows may hold
+    whole texts or sets, and the JVM and the worker of each task hold several batches.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/factloom/{name}-{uuid.uuid4().hex}"
-    held = spark.conf.get(_BATCH, None)
-    spark.conf.set(_BATCH, str(BATCH_BYTES))
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(_BATCH) if held is None else spark.conf.set(_BATCH, held)
+    if spark.conf.get(_BATCH, "67108864b") == "67108864b":
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _made[path] = spark
     out._stored_at = path
@@ -95,9 +93,7 @@ def batches(it: Iterable[pa.RecordBatch], text: str = "text", limit: int = CHUNK
         if not b.num_rows:
             continue
         col = b.column(b.schema.get_field_index(text))
-        sizes = np.asarray(col.cast(pa.large_binary()).fill_null(b"").to_numpy(zero_copy_only=False))
-        n = np.fromiter((len(x) for x in sizes), np.int64, len(sizes))
-        del sizes
+        n = pc.fill_null(pc.binary_length(col), 0).to_numpy()
         start, total = 0, 0
         for i, x in enumerate(n):
             if total and total + x > limit:

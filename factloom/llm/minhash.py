@@ -295,7 +295,9 @@ class NearDuplicates:
         ids = stored(ids.select("node", F.col("who.at").alias("at")), "ids")
         # 24 bytes a row: counted, and sent to the texts if it is small; otherwise both sides are dealt by place
         few = F.broadcast(ids) if ids.count() <= FEW else ids
-        return self.docs.join(few, "at").select("node", "text").mapInArrow(work, "node long, members binary")
+        key = lambda s: F.xxhash64(f"{s}.at.file", f"{s}.at.row")  # noqa: E731  one number, which Spark's tables hold in less memory
+        texts = self.docs.alias("d").join(few.alias("i"), (key("d") == key("i")) & (F.col("d.at") == F.col("i.at"))).select("node", "text")
+        return texts.mapInArrow(work, "node long, members binary")
 
     def counted(self, whole: DataFrame, total: int) -> DataFrame:
         """Each whole set, of *total* members together, with how many of these sets hold each of its shingles: node, members, seen (int64).
