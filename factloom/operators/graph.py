@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ def arrows(edges: DataFrame) -> DataFrame:
     return fixed(edges.select("src", "dst").filter("src is not null and dst is not null").distinct())
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, include_seeds: bool = True) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, include_seeds: bool = True, stored: bool = False) -> DataFrame:
     """(node, depth) of what *seeds* (node) reach over *edges* (src, dst); depth is the least.
 
     Breadth first: a round extends only the nodes found last and drops those known, so cycles end. Without *include_seeds* a
@@ -43,9 +45,9 @@ def reverse_reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = No
     return reach(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), seeds, max_depth)
 
 
-def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """All pairs (src, dst) joined by a path of one edge or more: semi-naive, only new pairs are extended."""
-    e = arrows(edges)
+def closure(edges: DataFrame, max_depth: int | None = None, stored: bool = False) -> DataFrame:
+    """All pairs (src, dst) joined by a path of one edge or more: semi-naive, only new pairs are extended. *stored*: *edges* are of arrows()."""
+    e = edges if stored else arrows(edges)
     known, fresh, depth = e, e, 1
     step = e.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
     while max_depth is None or depth < max_depth:
@@ -60,8 +62,8 @@ def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
 def reach_counts(edges: DataFrame, nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Each of *nodes* (node) with its direct and reachable callees; 0 where it has none."""
     edges = arrows(edges)
-    direct = edges.filter("src is not null and dst is not null").groupBy(F.col("src").alias("node")).agg(F.count_distinct("dst").alias("direct"))
-    all_ = closure(edges, max_depth).groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("reachable"))
+    direct = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("direct"))
+    all_ = closure(edges, max_depth, stored=True).groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("reachable"))
     return nodes.join(direct, "node", "left").join(all_, "node", "left").na.fill(0, ["direct", "reachable"])
 
 
@@ -69,13 +71,16 @@ def orchestrators(edges: DataFrame, nodes: DataFrame, direct: int = 5, reachable
     return reach_counts(edges, nodes, max_depth).filter((F.col("direct") >= direct) & (F.col("reachable") >= reachable))
 
 
-def unreachable(edges: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+def unreachable(edges: DataFrame, nodes: DataFrame, roots: DataFrame, stored: bool = False) -> DataFrame:
     """Those of *nodes* that no root reaches."""
-    return nodes.join(reach(edges, roots), "node", "left_anti")
+    return nodes.join(reach(edges, roots, stored=stored), "node", "left_anti")
+
 
+REPORT = ("reaches", "reach_count", "orchestrators", "unreachable_from_main", "subsystem_pairs", "truly_unreachable")
 
-def reach_report(edges: DataFrame, functions: DataFrame, entries: DataFrame, root: str = "main", least: int = 3) -> dict[str, DataFrame]:
-    """The six relations of a call graph, for one program.
+
+def reach_report(edges: DataFrame, functions: DataFrame, entries: DataFrame, root: str = "main", least: int = 3, only: Sequence[str] = REPORT) -> dict[str, DataFrame]:
+    """The six relations of a call graph, for one program, or *only* some of them: loops run for what is asked for.
 
     reaches (src, dst); reach_count (node, name, reachable); orchestrators (node, name, direct, reachable); unreachable_from_main
     and truly_unreachable (node, name): what neither *root* reaches nor, for the latter, any of *entries* (node);
@@ -83,26 +88,28 @@ def reach_report(edges: DataFrame, functions: DataFrame, entries: DataFrame, roo
     *root* are entries too.
     """
     e = arrows(edges)
-    pairs = closure(e)
-    mains = fixed(functions.filter(F.col("name") == root).select("node"))
-    direct = e.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("direct"))
-    count = pairs.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("reachable"))
-    counted = functions.select("node", "name").join(direct, "node", "left").join(count, "node", "left").na.fill(0, ["direct", "reachable"])
-    shared = shared_callees(e, least)
-    names = lambda side: functions.select(F.col("node").alias(side), F.col("name").alias(f"name_{side}"))
-    return {
-        "reaches": pairs,
-        "reach_count": counted.select("node", "name", "reachable"),
-        "orchestrators": counted.filter("direct >= 5 and reachable >= 20"),
-        "unreachable_from_main": unreachable(e, functions, mains).select("node", "name"),
-        "subsystem_pairs": shared.join(names("a"), "a").join(names("b"), "b").select("name_a", "name_b", "shared"),
-        "truly_unreachable": unreachable(e, functions, mains.union(entries.select("node"))).select("node", "name"),
-    }
-
-
-def shared_callees(edges: DataFrame, least: int = 3) -> DataFrame:
+    out = {}
+    if {"reaches", "reach_count", "orchestrators"} & set(only):
+        pairs = closure(e, stored=True)
+        direct = e.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("direct"))
+        count = pairs.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("reachable"))
+        counted = functions.select("node", "name").join(direct, "node", "left").join(count, "node", "left").na.fill(0, ["direct", "reachable"])
+        out |= {"reaches": pairs, "reach_count": counted.select("node", "name", "reachable"), "orchestrators": counted.filter("direct >= 5 and reachable >= 20")}
+    if {"unreachable_from_main", "truly_unreachable"} & set(only):
+        mains = fixed(functions.filter(F.col("name") == root).select("node"))
+        if "unreachable_from_main" in only:
+            out["unreachable_from_main"] = unreachable(e, functions, mains, stored=True).select("node", "name")
+        if "truly_unreachable" in only:
+            out["truly_unreachable"] = unreachable(e, functions, mains.union(entries.select("node")), stored=True).select("node", "name")
+    if "subsystem_pairs" in only:
+        names = lambda side: functions.select(F.col("node").alias(side), F.col("name").alias(f"name_{side}"))
+        out["subsystem_pairs"] = shared_callees(e, least, stored=True).join(names("a"), "a").join(names("b"), "b").select("name_a", "name_b", "shared")
+    return {k: out[k] for k in REPORT if k in only}
+
+
+def shared_callees(edges: DataFrame, least: int = 3, stored: bool = False) -> DataFrame:
     """Pairs of callers a < b with *least* callees or more in common."""
-    e = arrows(edges)
+    e = edges if stored else arrows(edges)
     e = e.join(e.groupBy("src").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least), "src", "left_semi")  # others have too few callees
     a, b = e.alias("a"), e.alias("b")
     both = a.join(b, (F.col("a.dst") == F.col("b.dst")) & (F.col("a.src") < F.col("b.src")))

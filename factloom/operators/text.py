@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -85,46 +85,27 @@ def boundaries(accesses: DataFrame, keys: Sequence[str], order: str, category: s
 def segments(accesses: DataFrame, keys: Sequence[str], order: str, category: str, gap: int = 100, span: int = 8, least: int = 3, infra: Sequence[str] = ()) -> DataFrame:
     """Phases of each function: keys, phase, start, end, hits, label.
 
-    The boundaries are window functions; the two merges depend on what was merged before and run in Python over one function's
-    segments, a row each: one of under *least* hits outside *infra* joins its predecessor, neighbours of one dominant category
-    become one. hits counts all accesses. The label is the dominant category: the commonest one outside *infra*, else the
-    commonest one; the first seen of equally common ones.
+    A segment of under *least* accesses outside *infra* joins its predecessor, then neighbours of one dominant category become
+    one. hits counts all accesses. The label is the dominant category: the commonest one outside *infra*, else the commonest
+    one; the first seen of equally common ones. Nulls are a category of their own, outside *infra*.
+
+    Both merges are sums over windows: a segment that doesn't join starts a group, and as a category that is dominant on both
+    sides of a seam stays so in the union, runs of one label are the second merge.
     """
+    own = F.coalesce(~F.col("kind").isin(*infra), F.lit(True)) if infra else F.lit(True)
+    w = Window.partitionBy(*keys).orderBy("segment")
     cut = boundaries(accesses, keys, order, category, gap, span, least, infra)
-    counted = cut.groupBy(*keys, "segment", F.col(category).alias("kind")).agg(F.count("*").alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi"))
-    seg = counted.groupBy(*keys, "segment").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.transform(F.array_sort(F.collect_list(F.struct("lo", "kind", "n"))), lambda x: F.struct(x["kind"].alias("kind"), x["n"].alias("n"))).alias("kinds"))
-    fields = {f.name: f.dataType.simpleString() for f in accesses.schema}
-    listed = seg.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("segment", "lo", "hi", "kinds"))).alias("segs"))
-    skip = set(infra)
-
-    def label(kinds: dict) -> str:
-        own = {k: n for k, n in kinds.items() if k not in skip} or kinds
-        return max(own, key=own.get)
-
-    def merge(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                out: list[list] = []
-                for s in r[-1]:
-                    kinds = {k["kind"]: int(k["n"]) for k in s["kinds"]}
-                    if out and sum(n for k, n in kinds.items() if k not in skip) < least:
-                        _join(out[-1], s["hi"], kinds)
-                    else:
-                        out.append([s["lo"], s["hi"], kinds])
-                merged: list[list] = []
-                for s in out:
-                    if merged and label(merged[-1][2]) == label(s[2]):
-                        _join(merged[-1], s[1], s[2])
-                    else:
-                        merged.append(s)
-                rows += [(*r[:-1], i, lo, hi, sum(k.values()), label(k)) for i, (lo, hi, k) in enumerate(merged)]
-            yield pd.DataFrame(rows, columns=[*keys, "phase", "start", "end", "hits", "label"])
-
-    return listed.mapInPandas(merge, ", ".join([*(f"`{k}` {fields[k]}" for k in keys), f"phase int, start {fields[order]}, end {fields[order]}, hits long, label string"]))
-
-
-def _join(into: list, hi, kinds: dict) -> None:
-    into[1] = hi
-    for k, n in kinds.items():
-        into[2][k] = into[2].get(k, 0) + n
+    counted = cut.groupBy(*keys, "segment", F.col(category).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi"))
+    whole = Window.partitionBy(*keys, "segment")
+    # kinds of one segment share its number, so a range up to the current number covers the segments before and this one
+    first = F.first("segment").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)) == F.col("segment")
+    kinds = counted.withColumn("__own", F.sum(F.when(own, F.col("n")).otherwise(0)).over(whole))
+    kinds = kinds.withColumn("__lead", F.row_number().over(whole.orderBy("lo", "kind")) == 1).withColumn("__start", F.col("__lead") & (first | (F.col("__own") >= least)))
+    kinds = kinds.withColumn("__group", F.sum(F.col("__start").cast("int")).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    merged = kinds.groupBy(*keys, "__group", "kind").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min(F.struct("segment", "lo", "kind")).alias("seen"))
+    groups = merged.groupBy(*keys, "__group").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min(F.struct((~own).alias("infra"), (-F.col("n")).alias("n"), "seen", "kind")).alias("best"))
+    w = Window.partitionBy(*keys).orderBy("__group")
+    label = F.col("best.kind")
+    new = F.row_number().over(w).eqNullSafe(1) | ~label.eqNullSafe(F.lag(label).over(w))
+    runs = groups.withColumn("__new", new).withColumn("phase", (F.sum(F.col("__new").cast("int")).over(w) - 1).cast("int"))
+    return runs.groupBy(*keys, "phase").agg(F.min("lo").alias("start"), F.max("hi").alias("end"), F.sum("n").alias("hits"), F.first(label).alias("label"))

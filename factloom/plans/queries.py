@@ -428,27 +428,27 @@ def multi_root_reach(spark, d):
 REPORT = ", n AS (SELECT p_partkey AS node, CASE WHEN p_partkey = 5 THEN 'main' ELSE p_name END AS name FROM part), p(src, dst) AS (SELECT src, dst FROM tree UNION SELECT p.src, t.dst FROM p JOIN tree t ON t.src = p.dst), m AS (SELECT node FROM n WHERE name = 'main'), en AS (SELECT node FROM m UNION SELECT 2 UNION SELECT 3)"
 
 
-def _report(spark, d):
+def _report(spark, d, *only):
     n = table(spark, d, "part").select(F.col("p_partkey").alias("node"), F.when(F.col("p_partkey") == 5, "main").otherwise(F.col("p_name")).alias("name"))
-    return graph.reach_report(shape(spark, d, "tree"), n, spark.createDataFrame([(2,), (3,)], "node long"), least=2)
+    return graph.reach_report(shape(spark, d, "tree"), n, spark.createDataFrame([(2,), (3,)], "node long"), least=2, only=only)
 
 
 @query("report_unreachable", with_shapes(REPORT + " SELECT n.node, n.name, n.node NOT IN (SELECT node FROM en) AND n.node NOT IN (SELECT dst FROM p WHERE src IN (SELECT node FROM en)) AS truly FROM n WHERE n.name <> 'main' AND n.node NOT IN (SELECT dst FROM p WHERE src IN (SELECT node FROM m))", "tree"))
 def report_unreachable(spark, d):
-    r = _report(spark, d)
+    r = _report(spark, d, "unreachable_from_main", "truly_unreachable")
     return r["unreachable_from_main"].join(r["truly_unreachable"].select("node", F.lit(True).alias("truly")), "node", "left").na.fill(False, ["truly"])
 
 
 @query("report_counts", with_shapes(REPORT + " SELECT n.node, n.name, (SELECT count(*) FROM p WHERE p.src = n.node) AS reachable FROM n", "tree"))
 def report_counts(spark, d):
-    return _report(spark, d)["reach_count"]
+    return _report(spark, d, "reach_count")["reach_count"]
 
 
 @query("subsystem_pairs", with_shapes(", s AS (SELECT a.src AS a, b.src AS b, count(*) AS shared FROM edges a JOIN edges b ON a.dst = b.dst AND a.src < b.src GROUP BY ALL HAVING count(*) >= 2) SELECT 'f' || a AS name_a, 'f' || b AS name_b, shared FROM s", "edges"))
 def subsystem_pairs(spark, d):
     e = shape(spark, d, "edges")
     n = e.select(F.col("src").alias("node")).distinct().withColumn("name", F.concat(F.lit("f"), F.col("node")))
-    return graph.reach_report(e, n, n.select("node").limit(0), least=2)["subsystem_pairs"]
+    return graph.reach_report(e, n, n.select("node").limit(0), least=2, only=["subsystem_pairs"])["subsystem_pairs"]
 
 
 @query("default_handlers", "WITH s AS (SELECT o_orderpriority AS source, o_orderkey % 300 AS slot, o_custkey % 40 * 4 + o_custkey % 2 AS word FROM orders), g AS (SELECT source, word & ~1 AS handler, count(*) AS slots, min(slot) AS first FROM s WHERE slot >= 1 AND word <> 0 GROUP BY ALL) SELECT source, handler, slots FROM g WHERE slots >= 3 QUALIFY row_number() OVER (PARTITION BY source ORDER BY slots DESC, first, handler) = 1")
@@ -656,7 +656,18 @@ def segment_boundaries(spark, d):
     return text.boundaries(_kinds(spark, d), ["user_id"], "place", "kind", infra=["RCC"]).select("user_id", "place", "segment")
 
 
-@query("segment_phases")
+# a segment of under three accesses outside RCC joins the one before, then neighbours of one dominant kind are one phase
+PHASES = "WITH" + SEGMENTED[1:].replace("SELECT n.user_id, n.place,", "SELECT n.user_id, n.place, n.kind,").replace("SELECT user_id, place, sum", ", sg AS (SELECT user_id, place, kind, sum") + """),
+own AS (SELECT user_id, segment, count(*) FILTER (kind <> 'RCC') AS own FROM sg GROUP BY ALL),
+g AS (SELECT user_id, segment, count(*) FILTER (own >= 3 OR segment = 0) OVER (PARTITION BY user_id ORDER BY segment) AS g FROM own),
+q AS (SELECT user_id, g, kind, count(*) AS n, min(place) AS lo, max(place) AS hi FROM sg JOIN g USING (user_id, segment) GROUP BY ALL),
+l AS (SELECT user_id, g, kind AS label FROM q QUALIFY row_number() OVER (PARTITION BY user_id, g ORDER BY kind = 'RCC', n DESC, lo) = 1),
+ch AS (SELECT *, coalesce(label <> lag(label) OVER (PARTITION BY user_id ORDER BY g), false) AS fresh FROM l),
+p AS (SELECT user_id, g, label, count(*) FILTER (fresh) OVER (PARTITION BY user_id ORDER BY g) AS phase FROM ch)
+SELECT user_id, phase::INT AS phase, min(lo) AS start, max(hi) AS "end", sum(n)::BIGINT AS hits, label FROM q JOIN p USING (user_id, g) GROUP BY user_id, phase, label"""
+
+
+@query("segment_phases", PHASES)
 def segment_phases(spark, d):
     return text.segments(_kinds(spark, d), ["user_id"], "place", "kind", infra=["RCC"])
 
@@ -812,7 +823,19 @@ def module_assignment(spark, d):
     return recovery.modules(graph.affinity(tree, own), tree, names)
 
 
-@query("label_propagation")
+def _rounds(n: int) -> str:
+    """Ten rounds written out: each adds its votes to the labels held, unless a round before added under 5 % or nothing."""
+    text = ", near AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), h0 AS (SELECT DISTINCT src AS node, CASE WHEN src % 2 = 0 THEN 'even' ELSE 'odd' END AS label, 0 AS round FROM edges WHERE src % 7 = 0), go0 AS (SELECT true AS go)"
+    for i in range(1, n + 1):
+        h, go = f"h{i - 1}", f"go{i - 1}"
+        text += f""", v{i} AS (SELECT src AS node, label, count(*) AS votes FROM near JOIN {h} ON {h}.node = dst WHERE src NOT IN (SELECT node FROM {h}) AND (SELECT go FROM {go}) GROUP BY ALL HAVING count(*) >= 2),
+        n{i} AS MATERIALIZED (SELECT node, label, {i} AS round FROM v{i} QUALIFY row_number() OVER (PARTITION BY node ORDER BY votes DESC, label) = 1),
+        h{i} AS MATERIALIZED (SELECT * FROM {h} UNION ALL SELECT * FROM n{i}),
+        go{i} AS MATERIALIZED (SELECT (SELECT count(*) FROM n{i}) > 0 AND (SELECT count(*) FROM n{i}) >= 0.05 * (SELECT count(*) FROM {h}) AS go)"""
+    return text + f" SELECT node, label, round FROM h{n}"
+
+
+@query("label_propagation", with_shapes(_rounds(10), "edges"))
 def label_propagation(spark, d):
     e = shape(spark, d, "edges")
     known = e.select(F.col("src").alias("node")).distinct().filter("node % 7 = 0").withColumn("label", F.when(F.col("node") % 2 == 0, "even").otherwise("odd"))
