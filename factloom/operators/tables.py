@@ -5,25 +5,30 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Tables up to this many rows are broadcast: dimension tables of a few narrow columns.
 FEW = 50_000
 
 
-def fixed(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder of spark.checkpoint.dir: cuts the lineage that a loop would pile up, and survives lost executors.
+def shared(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share.
 
-    Where that is unset, a local master gets a temporary folder; a cluster, whose machines don't share one, is an error.
+    Where spark.checkpoint.dir is unset, a local master gets a temporary folder; a cluster, whose machines don't share one, is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         at = spark.conf.get("spark.checkpoint.dir", None)
         if not at and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(at or os.path.join(tempfile.gettempdir(), "factloom-shared"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def fixed(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder: cuts the lineage that a loop would pile up, and survives lost executors."""
+    shared(df.sparkSession)
     return df.checkpoint()
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -637,6 +639,50 @@ def session_gaps(spark, d):
     return s.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
+def _event_stream(spark, d):
+    """The events as a stream whose one trigger takes all files; a glob, because a stream's path must be no single file."""
+    from ..streaming.trace_stream import read_stream
+
+    return read_stream(spark, f"{d}/event[s].parquet", table(spark, d, "events").schema, files=None)
+
+
+def _drained(spark, stream):
+    """What the append sink wrote of *stream*, in the shared folder."""
+    from ..operators.tables import shared
+    from ..streaming.trace_stream import to_parquet
+
+    at = f"{shared(spark)}/stream-{uuid.uuid4().hex}"
+    to_parquet(stream, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+
+
+@query("stream_trace", "WITH t AS (SELECT user_id, event_id, event_type, value, last_value(CASE WHEN event_type = 'view' THEN event_id * 4 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS pc FROM events) SELECT 'trace' AS source, user_id::VARCHAR AS scenario, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS sequence_idx, pc, event_id % 64 AS address, floor(value)::BIGINT AS value, CASE event_type WHEN 'click' THEN 'read' ELSE 'write' END AS direction FROM t WHERE event_type <> 'view'")
+def stream_trace(spark, d):
+    from ..streaming.trace_stream import access_stream
+
+    view = F.col("event_type") == "view"
+    cols = {"pc": F.when(view, F.col("event_id") * 4), "direction": F.when(~view, F.when(F.col("event_type") == "click", "read").otherwise("write")), "address": F.col("event_id") % 64, "io_value": F.floor("value")}
+    lines = _event_stream(spark, d).select(F.lit("trace").alias("source"), F.col("user_id").cast("string").alias("scenario"), F.col("event_id").alias("line"), *(c.cast("string" if k == "direction" else "long").alias(k) for k, c in cols.items()))
+    return _drained(spark, access_stream(lines))
+
+
+@query("stream_windows", "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL")
+def stream_windows(spark, d):
+    from ..operators.tables import shared
+    from ..streaming.trace_stream import run_once, windowed
+
+    name = f"windows_{uuid.uuid4().hex}"
+    w = windowed(_event_stream(spark, d), "ts", "1 day", ["event_type"])
+    return run_once(w, name, f"{shared(spark)}/{name}", "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("stream_first_seen", "SELECT DISTINCT user_id, event_type FROM events")
+def stream_first_seen(spark, d):
+    from ..streaming.trace_stream import first_seen
+
+    return _drained(spark, first_seen(_event_stream(spark, d), "ts", ["user_id", "event_type"]).select("user_id", "event_type"))
+
+
 # accesses to five kinds, one of them infrastructure; ids jump in places
 SEGMENTED = """, e AS (SELECT user_id, event_id + 60 * (event_id // 400) AS place, CASE WHEN event_id % 7 = 0 THEN 'RCC' ELSE event_type END AS kind FROM events),
 n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY place) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM e),

@@ -36,9 +36,10 @@ def access_stream(lines: DataFrame) -> DataFrame:
     return lines.groupBy("source", "scenario").applyInPandasWithState(step, ACCESS, "pc long, next long", "append", GroupStateTimeout.NoTimeout)
 
 
-def read_stream(spark: SparkSession, directory: str, schema) -> DataFrame:
-    """New Parquet files of a directory, one a trigger."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(directory)
+def read_stream(spark: SparkSession, directory: str, schema, files: int | None = 1) -> DataFrame:
+    """New Parquet files of a directory or glob, *files* of them a trigger; None: all that are there."""
+    r = spark.readStream.schema(schema)
+    return (r.option("maxFilesPerTrigger", files) if files else r).parquet(directory)
 
 
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
