@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 #: A word of the contracts: a run of anything but space and the five ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -87,6 +89,16 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
+def from_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small DataFrame of integer columns from the driver's rows, by Arrow.
+
+    Lists given to createDataFrame pass through Python workers of another kind than those of mapInArrow, which stay beside them in each executor.
+    """
+    t = StructType.fromDDL(schema)
+    cols = list(zip(*rows, strict=True)) or [()] * len(t.fields)
+    return spark.createDataFrame(pa.table({f.name: pa.array(list(c), to_arrow_type(f.dataType)) for f, c in zip(t.fields, cols, strict=True)}), t)
+
+
 def batches(it: Iterable[pa.RecordBatch], text: str = "text", limit: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
     """Cut record batches into slices of at most *limit* bytes of text each (one row at least)."""
     for b in it:
@@ -167,7 +179,7 @@ def picked_texts(docs: DataFrame, pick: DataFrame, volume: int) -> list[tuple[st
         if used + r["size"] <= volume:
             ids.append((r["doc_id"],))
             used += r["size"]
-    few = own.join(F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long")), "doc_id").select("doc_id", "text", "y")
+    few = own.join(F.broadcast(from_rows(docs.sparkSession, ids, "doc_id long")), "doc_id").select("doc_id", "text", "y")
     return [(r["text"], r["y"]) for r in sorted(few.collect(), key=lambda r: r["doc_id"])]
 
 

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, batches, code_points, discard, numbered, stored, texts_of, word_spans
+from .common import ROW, batches, code_points, discard, from_rows, numbered, stored, texts_of, word_spans
 
 _RNG = np.random.default_rng(20240609)
 _A, _B = (_RNG.integers(1, 2**63, 16, dtype=np.uint64) * 2 + 1 for _ in range(2))
@@ -467,7 +467,7 @@ class NearDuplicates:
         star = sized.join(centre, "value").filter((F.col("node") != F.col("c.node")) & fits).select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
         links = self.verified(star, classes)
         if links.isEmpty():
-            labels = links.sparkSession.createDataFrame([], "node long, comp long")
+            labels = from_rows(links.sparkSession, [], "node long, comp long")
         else:
             labels = components(links)
         # then whatever a list still holds in several components

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, code_points, free_name, picked_texts, texts_of, word_spans
+from .common import batches, code_points, free_name, from_rows, picked_texts, texts_of, word_spans
 from .quality_rules import _word_ids
 from .toxicity import _chunked
 
@@ -127,7 +127,7 @@ def graded(docs: DataFrame, ratings: DataFrame, rows: int, volume: int) -> list[
     picked: list = []
     for g in grades:
         picked += [tuple(x) for x in r.filter(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", "grade").collect()]
-    return picked_texts(docs, docs.sparkSession.createDataFrame(picked, "doc_id long, y int"), volume)
+    return picked_texts(docs, from_rows(docs.sparkSession, picked, "doc_id long, y int"), volume)
 
 
 def ratings(labels: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_CHARS, batches, code_points, picked_texts, texts_of, word_spans
+from .common import CHUNK_CHARS, batches, code_points, from_rows, picked_texts, texts_of, word_spans
 
 _MIX = np.random.default_rng(20240607).integers(1, 2**63, 8, dtype=np.uint64) * 2 + 1
 
@@ -203,7 +203,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, volume:
     """
     ids = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)").dropDuplicates(["doc_id"])
     pick = ids.filter("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).union(ids.filter("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
-    return picked_texts(docs, docs.sparkSession.createDataFrame([tuple(r) for r in pick.collect()], "doc_id long, y int"), volume)
+    return picked_texts(docs, from_rows(docs.sparkSession, [tuple(r) for r in pick.collect()], "doc_id long, y int"), volume)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = 2_500, volume: int = 64 << 20) -> SubwordClassifier:
