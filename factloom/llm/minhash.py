@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, batches, code_points, discard, from_rows, numbered, stored, texts_of, word_spans
+from .common import ROW, batches, code_points, discard, from_rows, joined, numbered, stored, texts_of, word_spans
 
 _RNG = np.random.default_rng(20240609)
 _A, _B = (_RNG.integers(1, 2**63, 16, dtype=np.uint64) * 2 + 1 for _ in range(2))
@@ -284,8 +284,11 @@ class NearDuplicates:
         sets = pairs.join(whole.select(F.col("node").alias("a"), F.col("members").alias("ma")), "a").join(whole.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b")
         return sets.select("a", "b", "ma", "mb").mapInArrow(work, "a long, b long")
 
-    def whole_sets(self, ids: DataFrame) -> DataFrame:
-        """The sets of the nodes in *ids* (node, who), from the text of one row each: node, members (sorted int64)."""
+    def whole_sets(self, ids: DataFrame, then: Callable = iter, schema: str = "node long, members binary") -> DataFrame:
+        """The sets of the nodes in *ids* (node, who), from the text of one row each: node, members (sorted int64).
+
+        *then* makes *schema* of their record batches in the same Python worker: by a second mapInArrow each task would hold two.
+        """
         words = self.words
 
         def work(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,22 +300,22 @@ class NearDuplicates:
         few = F.broadcast(ids) if ids.count() <= FEW else ids
         key = lambda s: F.xxhash64(f"{s}.at.file", f"{s}.at.row")  # noqa: E731  one number, which Spark's tables hold in less memory
         texts = self.docs.alias("d").join(few.alias("i"), (key("d") == key("i")) & (F.col("d.at") == F.col("i.at"))).select("node", "text")
-        return texts.mapInArrow(work, "node long, members binary")
+        return texts.mapInArrow(lambda it: then(work(it)), schema)
 
-    def counted(self, whole: DataFrame, total: int) -> DataFrame:
-        """Each whole set, of *total* members together, with how many of these sets hold each of its shingles: node, members, seen (int64).
+    def counted(self, ids: DataFrame, total: int) -> DataFrame:
+        """Each whole set of the nodes in *ids* (node, who), of *total* members together, with how many of these sets hold each of its shingles: node, members, seen (int64).
 
         Sets are cut by ranges of hash values, a task counts all values of its ranges, and the counted parts come back
         together by batch of sets.
         """
-        parts = max(int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total // 2_000_000) + 1)
+        parts = max(int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total // 2_000_000) + 1)
         edges = np.linspace(0, 2.0**63, parts + 1)[1:-1].astype(np.int64)
 
         kinds = ("part", "batch", "head", "places", "members"), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
 
         def scatter(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """For each batch of sets a row with its nodes and sizes, and one row for each range of hash values."""
-            for i, b in enumerate(batches(it, "members", 8 << 20)):
+            for i, b in enumerate(joined(it, "members", 8 << 20)):
                 uid = TaskContext.get().partitionId() << 32 | i
                 sets = [np.frombuffer(x.as_py(), np.int64) for x in b.column(1)]
                 h = np.concatenate(sets)
@@ -343,7 +346,7 @@ class NearDuplicates:
                 end = np.cumsum(size)
                 yield _arrow([(i, h[q - n : q].tobytes(), f[q - n : q].tobytes()) for i, n, q in zip(node.tolist(), size.tolist(), end.tolist(), strict=True)], ("node", "members", "seen"), (pa.int64(), pa.binary(), pa.binary()))
 
-        parted = whole.mapInArrow(scatter, "part long, batch long, head binary, places binary, members binary").repartition(parts, "part").mapInArrow(count, "batch long, head binary, places binary, members binary, seen binary")
+        parted = self.whole_sets(ids, scatter, "part long, batch long, head binary, places binary, members binary").repartition(parts, "part").mapInArrow(count, "batch long, head binary, places binary, members binary, seen binary")
         return stored(parted.repartition(parts, "batch").sortWithinPartitions("batch").mapInArrow(gather, "node long, members binary, seen binary"), "counted")
 
     def deltas(self, members: DataFrame, counted: DataFrame) -> DataFrame:
@@ -410,7 +413,7 @@ class NearDuplicates:
         pivot = lists.groupBy("value").agg(F.min_by("node", F.struct("rare", "node")).alias("pivot"))
         members = stored(lists.join(pivot, "value").select("node", "pivot").distinct(), "members")
         ids = classes.join(members.select("node").union(members.select("pivot")).distinct(), "node", "left_semi")
-        whole = self.counted(self.whole_sets(ids), ids.agg(F.sum("n")).first()[0] or 0)
+        whole = self.counted(ids, ids.agg(F.sum("n")).first()[0] or 0)
         found = self.deltas(members.filter("node != pivot"), whole)
         labels = contracted(labels, found.filter("value is null").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
         posted = found.filter("value is not null")

@@ -273,6 +273,28 @@ def test_near_duplicates_in_a_dense_group(spark, n, num, length, edits):
     assert got == want
 
 
+def python_steps(plan):
+    """How many Python operators the stage above a physical plan's first exchanges chains, and the most of any of its stages."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return python_steps(plan.executedPlan())
+    below = [python_steps(plan.children().apply(i)) for i in range(plan.children().size())]
+    here = max((b[0] for b in below), default=0) + (plan.nodeName() in ("MapInArrow", "FlatMapGroupsInPandas"))
+    return 0 if "Exchange" in plan.nodeName() else here, max([here, *(b[1] for b in below)])
+
+
+def test_near_duplicates_hold_one_python_worker_a_task(spark, monkeypatch):
+    steps, stored = {}, minhash.stored
+
+    def seen(df, name):
+        steps[name] = max(steps.get(name, 0), python_steps(df._jdf.queryExecution().executedPlan())[1])
+        return stored(df, name)
+
+    monkeypatch.setattr(minhash, "stored", seen)
+    d = spark.createDataFrame(dense_group(3, 40, 60, [0, 1, 2], 60), "doc_id long, text string")
+    assert minhash.near_duplicates(d, 3, 85).count() == d.count()
+    assert steps["counted"] == 1 and max(steps.values()) == 1, steps
+
+
 def test_near_survivors_by_place(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(None, text, "a"), (None, text + " x", "b"), (7, text, "c"), (7, text, "c"), (None, "other words only", "d"), (None, None, "e"), (3, "", "f")]
@@ -734,6 +756,18 @@ def test_batches_read_whole_texts():
     assert got == ["a" * 50, "", "b" * 200]
 
 
+def test_joined_batches_keep_all_rows_in_order():
+    import pyarrow as pa
+
+    from factloom.llm.common import joined
+
+    made = [pa.RecordBatch.from_pydict({"node": [i, -i], "members": [b"x" * n, b""]}) for i, n in enumerate([30, 20, 10, 200, 5, 0])]
+    got = list(joined(made, "members", 60))
+    assert [b.num_rows for b in got] == [6, 2, 4]
+    assert pa.Table.from_batches(got).equals(pa.Table.from_batches(made).combine_chunks())
+    assert list(joined([], "members")) == []
+
+
 # the pipeline
 
 
