@@ -83,6 +83,16 @@ def test_sets_jaccard_and_cosine(spark):
     assert rows(features.equal_sets(features.sets(s, "v", "m"), "m"), "a_addr", "b_addr", "n") == [(1, 9, 2)]
 
 
+def test_cosine_dense_applies_its_threshold_before_rounding(spark, tmp_path):
+    from factloom.plans import queries
+
+    side = lambda c: [c, math.sqrt(1 - c * c)]
+    data = [(0, [1.0, 0.0], 1), (1, side(0.2999997), 1), (2, side(0.3000002), 1), (3, [3.0, 0.0], 1), (4, [0.0, 0.0], 1), (5, [1.0, 0.0], 2)]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = rows(queries.cosine_dense(spark, str(tmp_path)), "a", "b", "cosine")
+    assert got[:2] == [(0, 2, 0.3), (0, 3, 1.0)] and [r[1] for r in got[2:]] == [4] and math.isnan(got[2][2])  # a zero vector's NaN passes, as in SQL
+
+
 def test_size_band_edges(spark):
     r = spark.createDataFrame([(100, 1)], "size long, id int")
     t = spark.createDataFrame([(49, 1), (50, 2), (200, 3), (201, 4), (0, 5)], "size long, id int")
