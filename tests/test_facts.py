@@ -99,6 +99,38 @@ def test_size_band_edges(spark):
     assert rows(similarity.size_band(r, t), "t_id") == [(2,), (3,)]
 
 
+def test_pairs_of_one_bucket_are_dealt_to_many_tasks(spark):
+    from factloom.operators.tables import tiled
+
+    a = spark.range(60).selectExpr("if(id < 40, 1, if(id < 50, id, null)) as k", "id as x")
+    b = spark.range(50).selectExpr("if(id < 30, 1, id) as k", "id as y")
+    out = tiled(a, b, ["k"], ["x"], ["y"], tile=4, pairs=50)
+    assert rows(out, "k", "x", "y") == rows(a.join(b, "k"), "k", "x", "y")
+    per_task = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(per_task) > 10 and max(per_task) < 300  # of 1,210 pairs, all but ten of one key
+    sizes = spark.range(4000).selectExpr("40 as size", "id")
+    assert similarity.size_band(sizes, sizes).groupBy(F.spark_partition_id()).count().count() > 1
+
+
+def test_marked_jaccard_rounded_and_leaders(spark):
+    data = [(i, [(i * 7 + j * j) % 90 for j in range(i % 5)], [f"s{i % 3}"] * (i % 3)) for i in range(30)] + [(30, None, None)]
+    d = spark.createDataFrame(data, "id int, v array<int>, s array<string>")
+    marks = {"v": 2, "s": 1}
+    m = similarity.marked(d, marks)
+    side = lambda d, s: d.toDF(*(f"{s}_{c}" for c in d.columns))
+    got = side(m, "a").crossJoin(side(m, "b")).select("a_id", "b_id", *(similarity.marked_jaccard("a_", "b_", c, n).alias(c) for c, n in marks.items()))
+    want = side(d, "a").crossJoin(side(d, "b")).select("a_id", "b_id", *(similarity.jaccard(F.col(f"a_{c}"), F.col(f"b_{c}")).alias(c) for c in marks))
+    assert rows(got, "a_id", "b_id", *marks) == rows(want, "a_id", "b_id", *marks)
+    x = [0.1234565, 0.1234575, 0.12345649999, 2.5e-7, 5e-7, -1e-9, -0.3, 1e15 / 3, 0.0, 1.0, None, math.inf] + [i / 7919 for i in range(2000)]
+    d = spark.createDataFrame([(v,) for v in x], "x double")
+    assert d.filter(~similarity.rounded(F.col("x"), 6).eqNullSafe(F.round("x", 6))).count() == 0
+    edge = spark.createDataFrame([(0.8999999995,), (0.89999999949999,), (0.9,), (0.8999999996,)], "x double")
+    assert edge.filter(similarity.rounds_up_to(F.col("x"), 9, 0.9) != (F.round("x", 9) >= 0.9)).count() == 0
+    s = spark.range(3000).selectExpr("id % 7 as k", "pmod(id * 37, 101) / 10.0D as score", "id as tie").repartition(3).sortWithinPartitions("k")
+    few, order = similarity.leaders(s, "k", "score", "tie", 3), [F.desc("score"), F.col("tie")]
+    assert few.count() <= 3 * 3 * 7 and rows(similarity.top_k(few, ["k"], order, 3), "k", "rank", "tie") == rows(similarity.top_k(s, ["k"], order, 3), "k", "rank", "tie")
+
+
 def test_weighted_score(spark):
     cols = ["size", "blocks", "out_calls", "distinct_callees", "reads", "writes", "registers", "strings", "body_hash"]
 
@@ -124,6 +156,10 @@ def test_composite_and_vectors(spark):
     d = spark.createDataFrame([([1.0, 0.0], [2.0, 0.0], [3.0, 4.0], [4.0, 3.0], ["f"], ["f", "g"], [], []), ([0.0, 0.0], [1.0, 0.0], None, [1.0, 1.0], None, [], ["s"], ["s"])], "a_shape array<double>, b_shape array<double>, a_ops array<double>, b_ops array<double>, a_callees array<string>, b_callees array<string>, a_strings array<string>, b_strings array<string>")
     one, two = similarity.composite(d).collect()
     assert one["score"] == pytest.approx(0.25 * (1 + 0.96 + 0.5 + 0)) and two["score"] == pytest.approx(0.25) and two["structural"] is None
+    ready = similarity.marked(d, {f"{s}_{c}": 1 for s in "ab" for c in ("callees", "strings")})
+    ready = similarity.unit_columns(ready, {f"{s}_{c}": 2 for s in "ab" for c in ("shape", "ops")})
+    cols = ["structural", "histogram", "callees", "strings", "score"]
+    assert similarity.composite(ready, {"shape": 2, "ops": 2}, {"callees": 1, "strings": 1}).select(cols).collect() == similarity.composite(d).select(cols).collect()
 
 
 @pytest.mark.parametrize(("num", "den"), [(1, 4), (1, 2), (4, 5), (1, 1)])
