@@ -112,6 +112,24 @@ def test_pairs_of_one_bucket_are_dealt_to_many_tasks(spark):
     assert similarity.size_band(sizes, sizes).groupBy(F.spark_partition_id()).count().count() > 1
 
 
+def test_twins_of_one_signature_are_dealt_to_many_tasks(spark):
+    one = spark.range(4000).selectExpr("if(id % 2 = 0, 'a', 'b') as source", "id as addr", "'n' as name", "9L as size")
+    out = features.twins(one.union(one.selectExpr("source", "addr", "name", "null")).coalesce(1), ["name", "size"])
+    per_task = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per_task) == 2000 * 2000 and len(per_task) > 1
+
+
+def test_implied_edges_by_several_rules_and_without_calls(spark):
+    f = spark.createDataFrame([("s", 1, "red one"), ("s", 2, "red blue"), ("s", 3, "blue"), ("t", 4, "blue"), (None, 5, "blue"), ("s", 1, "red one"), ("s", 6, "green")], "source string, addr long, name string")
+    rules = spark.createDataFrame([(1, "red%", "%blue", "x"), (2, "red%", "blue%", "x"), (3, "%one", "%blue", "y"), (4, "green", "red%", None)], "rule int, caller_like string, callee_like string, category string")
+    calls = spark.createDataFrame([("s", 2, 3), ("s", 1, None), ("t", 1, 3)], "source string, caller_addr long, callee_addr long")
+    out = recovery.implied_edges(f, rules, calls)
+    got = rows(out.fillna("none", "category"), "source", "caller_addr", "callee_addr", "category")
+    assert got == [("s", 1, 2, "x"), ("s", 1, 2, "y"), ("s", 1, 3, "x"), ("s", 1, 3, "y"), ("s", 6, 1, "none"), ("s", 6, 2, "none")]
+    # the edges meet neither the calls nor each other again
+    assert "LeftAnti" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_marked_jaccard_rounded_and_leaders(spark):
     data = [(i, [(i * 7 + j * j) % 90 for j in range(i % 5)], [f"s{i % 3}"] * (i % 3)) for i in range(30)] + [(30, None, None)]
     d = spark.createDataFrame(data, "id int, v array<int>, s array<string>")
