@@ -83,6 +83,23 @@ def test_sets_jaccard_and_cosine(spark):
     assert rows(features.equal_sets(features.sets(s, "v", "m"), "m"), "a_addr", "b_addr", "n") == [(1, 9, 2)]
 
 
+def test_sparse_cosine_against_brute_force_in_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "PRODUCTS", 40)
+    data = [(f"v{i}", (i * 5 + j * 3) % 17, float((i + j) % 4 - 1)) for i in range(40) for j in range(i % 6)] + [("v1", None, 1.0)]
+    vec = {}
+    for i, k, w in data:
+        if w:
+            vec.setdefault(i, {})[k] = w
+    norm = {i: math.sqrt(sum(w * w for w in v.values())) for i, v in vec.items()}
+    want = {(a, b): sum(vec[a][k] * vec[b][k] for k in set(vec[a]) & set(vec[b]) - {None}) / (norm[a] * norm[b]) for a in vec for b in vec if set(vec[a]) & set(vec[b]) - {None} and a != b}
+    w = spark.createDataFrame(data, "id string, key int, w double")
+    for asked, keep in ((None, lambda a, b: a < b), (F.col("id").endswith("3"), lambda a, b: a.endswith("3"))):
+        out = similarity.sparse_cosine(w, asked)
+        got = {(r["a"], r["b"]): r["cosine"] for r in out.collect()}
+        assert len(got) == out.count() and got == pytest.approx({k: v for k, v in want.items() if keep(*k)})
+        assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[0]  # products aren't shuffled
+
+
 def test_cosine_dense_applies_its_threshold_before_rounding(spark, tmp_path):
     from factloom.plans import queries
 
