@@ -147,6 +147,31 @@ def test_implied_edges_by_several_rules_and_without_calls(spark):
     assert "LeftAnti" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_partitions_follow_the_size_of_the_tables(spark, tmp_path, monkeypatch):
+    from factloom.operators import tables
+
+    def facts(name, text):
+        spark.range(6000).selectExpr(*text).write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    f = facts("f", ["'a' as source", "id % 600 as addr", "'n' as name", "9L as size", "false as is_thunk"]).dropDuplicates(["addr"])
+    b = facts("b", ["'a' as source", "id % 600 as function_addr", "id as block_addr", "1 as instruction_count"])
+    c = facts("c", ["'a' as source", "id % 600 as caller_addr", "id as call_site_addr", "id % 1200 as callee_addr"])
+    x = facts("x", ["'a' as source", "id % 600 as function_addr", "id as from_addr", "id % 7 as to_addr", "if(id % 2 = 0, 'READ', 'WRITE') as ref_type"])
+    monkeypatch.setattr(tables, "SPREAD", 1000)
+    monkeypatch.setattr(recovery, "MET", 1000)
+    out = features.structural_signature(f, b, c, x)
+    assert out.rdd.getNumPartitions() == tables.portions(f, b, c, x) > 8
+    assert out.count() == 600 and out.filter("blocks = 10 and out_calls = 10 and distinct_callees = 2 and reads + writes = 10 and jumps = 0").count() == 600
+    flow = recovery.writer_reader_flow(x, 3)
+    assert flow.groupBy(F.spark_partition_id()).count().count() > 8
+    sets_ = {k: {} for k in ("READ", "WRITE")}
+    for r in x.select("function_addr", "to_addr", "ref_type").distinct().collect():
+        sets_[r["ref_type"]].setdefault(r["function_addr"], set()).add(r["to_addr"])
+    want = [("a", w, r, len(a & b)) for w, a in sets_["WRITE"].items() for r, b in sets_["READ"].items() if w != r and len(a & b) >= 3]
+    assert rows(flow, "source", "writer", "reader", "shared") == sorted(want)
+
+
 def test_marked_jaccard_rounded_and_leaders(spark):
     data = [(i, [(i * 7 + j * j) % 90 for j in range(i % 5)], [f"s{i % 3}"] * (i % 3)) for i in range(30)] + [(30, None, None)]
     d = spark.createDataFrame(data, "id int, v array<int>, s array<string>")
